@@ -250,8 +250,8 @@ def with_prompt(spark, sf):
 @query("clean_text_stream", f"""SELECT doc_id, {strip_sql(urls_sql(mentions_sql('t')))} AS text
 FROM (SELECT doc_id, {tags_sql('text')} AS t FROM documents)""")
 def clean_text_stream(spark, sf):
-    source = f"{sf}/documents.parquet"
-    stream = read_text_stream(spark, source, spark.read.parquet(source).schema)
+    schema = V.table(spark, sf, "documents").schema
+    stream = read_text_stream(spark, sf, schema, "documents.parquet")
     out = fresh_path(spark, "stream")
     done = clean_stream(stream.select("doc_id", "text"), out, fresh_path(spark, "stream-state"))
     done.awaitTermination()

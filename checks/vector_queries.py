@@ -36,7 +36,7 @@ def head_sql(layers: list[scoring.Layer]) -> str:
         if i < len(layers) - 1:
             unit = f"greatest({unit}, 0.0)"
         steps.append(
-            f"h{i + 1} AS (SELECT vec_id, label, list_transform({_matrix(layer)}, u -> {unit}) AS x FROM h{i})"
+            f"h{i + 1} AS (SELECT vec_id, label, [{unit} for u in {_matrix(layer)}] AS x FROM h{i})"
         )
     return ",\n".join(steps)
 
@@ -113,7 +113,7 @@ def pool_mean_last_layers(spark, sf):
 
 
 @query("truncate_vector", unrolled_sql("cut", "vec_id", "x",
-       "cut AS (SELECT vec_id, list_transform(embedding, v -> trunc(CAST(v AS DOUBLE) * 10)) AS x FROM embeddings)"))
+       "cut AS (SELECT vec_id, [trunc(CAST(v AS DOUBLE) * 10) for v in embedding] AS x FROM embeddings)"))
 def truncate_vector(spark, sf):
     scaled = F.transform("embedding", lambda v: v.cast("double") * 10.0)
     return V.unrolled(
@@ -180,8 +180,8 @@ def sigmoid(spark, sf):
 
 
 @query("softmax", f"""WITH {V.PREDICTIONS4_CTE},
-e AS (SELECT row_id, list_transform(logits, v -> exp(v - list_max(logits))) AS x FROM predictions4),
-p AS (SELECT row_id, list_transform(x, v -> v / list_sum(x)) AS p FROM e)
+e AS (SELECT row_id, [exp(v - list_max(logits)) for v in logits] AS x FROM predictions4),
+p AS (SELECT row_id, [v / list_sum(x) for v in x] AS p FROM e)
 SELECT row_id, CAST(unnest(range(4)) AS INTEGER) AS dim, round(unnest(p), 6) AS value FROM p""")
 def softmax(spark, sf):
     rows = V.predictions4(spark, sf).select("row_id", scoring.softmax_col("logits").alias("embedding"))
@@ -280,7 +280,7 @@ def bce_loss(spark, sf):
     return metrics.bce_loss(V.predictions(spark, sf)).select(V.r6("loss").alias("loss"))
 
 
-NLL = "ln(list_sum(list_transform(logits, v -> exp(v)))) - logits[p.label + 1]"
+NLL = "ln(list_sum([exp(v) for v in logits])) - logits[p.label + 1]"
 CE_CTE = f"""{V.PREDICTIONS4_CTE}, {WEIGHTS_SQL.format(source='predictions4')},
 terms AS (SELECT p.label, p.pred, w.weight, {NLL} AS nll FROM predictions4 p JOIN weights w ON p.label = w.label)"""
 
@@ -310,7 +310,7 @@ def epoch_loss_compat(spark, sf):
 
 
 @query("l1_penalty", """SELECT round(0.001::DOUBLE * sum(list_sum(
-list_transform(embedding, v -> abs(CAST(v AS DOUBLE))))), 6) AS penalty
+[abs(CAST(v AS DOUBLE)) for v in embedding])), 6) AS penalty
 FROM embeddings WHERE vec_id % 8 <> 0""")
 def l1_penalty(spark, sf):
     weights = V.embeddings(spark, sf).select(

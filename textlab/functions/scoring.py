@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from textlab.functions.binding import let
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -27,12 +29,21 @@ def sigmoid_col(z: Column | str) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-_col(z)))
 
 
+def _shifted_exps(z: Column | str) -> Column:
+    zs = _doubles(z)
+    return let(F.array_max(zs), lambda top: F.transform(zs, lambda v: F.exp(v - top)))
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
+
+
 def softmax_col(z: Column | str) -> Column:
     """Probabilities of an array of logits, shifted by the maximum."""
-    top = F.array_max(_doubles(z))
-    exps = F.transform(_doubles(z), lambda v: F.exp(v - top))
-    total = F.aggregate(exps, F.lit(0.0), lambda acc, v: acc + v)
-    return F.transform(exps, lambda v: v / total)
+    return let(
+        _shifted_exps(z),
+        lambda e: let(_total(e), lambda total: F.transform(e, lambda v: v / total)),
+    )
 
 
 def predict_binary(z: Column | str) -> Column:
@@ -57,9 +68,8 @@ def bce_term(z: Column | str, y: Column | str) -> Column:
 def nll_term(z: Column | str, y: Column | str) -> Column:
     """Negative log-likelihood of class ``y`` under an array of logits."""
     zs = _doubles(z)
-    top = F.array_max(zs)
-    lse = F.aggregate(zs, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))
-    return top + F.log(lse) - F.get(zs, _col(y).cast("int"))
+    log_sum = F.array_max(zs) + F.log(_total(_shifted_exps(z)))
+    return log_sum - F.get(zs, _col(y).cast("int"))
 
 
 # -- vectors ----------------------------------------------------------------
@@ -100,21 +110,21 @@ NATIVE_PRODUCTS = 4096
 
 
 def _native_layer(x: Column, layer: Layer, relu: bool) -> Column:
-    units = F.lit([list(w) + [b] for w, b in zip(layer.weights, layer.bias)])
     width = len(layer.weights[0])
-    # The bias is the weight of a constant 1 behind the inputs.
-    padded = F.concat(x, F.array(F.lit(1.0)))
+    units = F.lit([list(w) + [b] for w, b in zip(layer.weights, layer.bias)])
 
-    def unit(w: Column) -> Column:
-        dot = F.aggregate(
-            F.zip_with(w, padded, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v
-        )
+    def unit(w: Column, inputs: Column) -> Column:
+        dot = _total(F.zip_with(w, inputs, lambda a, b: a * b))
         return F.greatest(dot, F.lit(0.0)) if relu else dot
 
-    checked = F.when(
-        F.size(x) != width, F.raise_error(F.lit(f"vector width differs from {width}"))
+    checked = F.when(F.size(x) == width, x).when(
+        x.isNotNull(), F.raise_error(F.lit(f"vector width differs from {width}"))
     )
-    return F.coalesce(checked.cast("array<double>"), F.transform(units, unit))
+    # The bias is the weight of a constant 1 behind the inputs.
+    padded = F.concat(checked, F.array(F.lit(1.0)))
+    return let(padded, lambda inputs: F.when(
+        inputs.isNotNull(), F.transform(units, lambda w: unit(w, inputs))
+    ))
 
 
 def _arrow_head(layers: Sequence[Layer]):
@@ -127,11 +137,12 @@ def _arrow_head(layers: Sequence[Layer]):
             out = np.full(len(vectors), None, dtype=object)
             if known.any():
                 x = np.stack(vectors[known].to_list()).astype(np.float64)
-                for i, (w, b) in enumerate(mats):
+                for depth, (w, b) in enumerate(mats):
                     x = x @ w.T + b
-                    if i < len(mats) - 1:
+                    if depth < len(mats) - 1:
                         x = np.maximum(x, 0.0)
-                out[known] = list(x)
+                for i, row in zip(np.flatnonzero(known), x):
+                    out[i] = row
             yield pd.Series(out)
 
     return forward

@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textlab.functions.binding import let
 from textlab.functions.emoji_names import default_emoji_names
 
 # Hashtags that switch on masking (exact, case-sensitive).
@@ -82,10 +83,11 @@ def _java_quote(s: str) -> str:
 # -- emoji ------------------------------------------------------------------
 
 def _code_class(points: set[int], gap: int = 1) -> str:
-    """Regex class of code points as ranges; holes shorter than ``gap`` are filled."""
+    """Regex class of code points as ranges. Holes up to ``gap`` are filled, except in
+    the alphabets below U+2000."""
     spans: list[list[int]] = []
     for p in sorted(points):
-        if spans and p - spans[-1][1] <= gap:
+        if spans and p - spans[-1][1] <= (gap if spans[-1][0] >= 0x2000 else 1):
             spans[-1][1] = p
         else:
             spans.append([p, p])
@@ -164,12 +166,15 @@ def demojize(
     pattern = emoji_pattern(names)
     left, right = (F.lit(d) for d in delimiters)
     found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    gaps = F.split(c, pattern, -1)
-    named = F.transform(
-        found,
-        lambda t, i: F.concat(left, emoji_name(t, names), right, F.get(gaps, i + 1)),
-    )
-    rebuilt = F.concat(F.get(gaps, F.lit(0)), F.array_join(named, ""))
+
+    def weave(gaps: Column) -> Column:
+        named = F.transform(
+            found,
+            lambda t, i: F.concat(left, emoji_name(t, names), right, F.get(gaps, i + 1)),
+        )
+        return F.concat(F.get(gaps, F.lit(0)), F.array_join(named, ""))
+
+    rebuilt = let(F.split(c, pattern, -1), weave)
     return F.when(_may_hold_emoji(c, names) & c.rlike(pattern), rebuilt).otherwise(c)
 
 
@@ -243,12 +248,8 @@ def clean_text(
     stop: Sequence[str] = STOP_HASHTAGS,
     mode: str = "all",
 ) -> Column:
-    """Emoji names, then hashtags, mentions, links and outer whitespace.
-
-    For a whole table prefer ``operators.labelled.clean``, which names the emoji once
-    per row in a step of its own.
-    """
-    return mask_text(demojize(col, names), stop, mode)
+    """Emoji names, then hashtags, mentions, links and outer whitespace."""
+    return let(demojize(col, names), lambda t: mask_text(t, stop, mode))
 
 
 def with_prompt(col: Column | str, prompt: str = PROMPT) -> Column:

@@ -11,35 +11,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from textlab.functions.text import WORD
+from textlab.functions.binding import let
+
+# Letters, digits and underscore; the encoder's own notion of a word.
+TOKEN = r"[\p{L}\p{N}_]+"
 
 # An encoder factory returns a function from a list of texts to one vector per text.
 Encoder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 EncoderFactory = Callable[[], Encoder]
 
 
-def hashed_slots(col: Column | str, width: int = 64) -> Column:
-    """Slot of every lower-cased word, from the first 32 bits of its digest."""
+def hashing_vector(col: Column | str, width: int = 64) -> Column:
+    """Counts of lower-cased words by hashed slot, scaled to unit length.
+
+    The slot is taken from the first 32 bits of the word's digest. One pass per text, no
+    shuffle; text without words gives a zero vector.
+    """
     c = F.col(col) if isinstance(col, str) else col
-    words = F.regexp_extract_all(F.lower(c), F.lit(f"{WORD}+"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
     head = lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10)
-    return F.transform(words, lambda w: (head(w).cast("bigint") % width).cast("int"))
+    slots = F.transform(words, lambda w: (head(w).cast("bigint") % width).cast("int"))
+    return let(slots, lambda s: let(_slot_counts(s, width), _unit_length))
 
 
-def slot_counts(slots: Column, width: int) -> Column:
-    """Histogram of slots as a vector. ``slots`` should be a plain column: the lambda
-    evaluates it once per slot."""
-    total = F.size(slots)
+def _slot_counts(slots: Column, width: int) -> Column:
     return F.transform(
         F.sequence(F.lit(0), F.lit(width - 1)),
-        lambda i: (total - F.size(F.array_remove(slots, i))).cast("double"),
+        lambda i: (F.size(slots) - F.size(F.array_remove(slots, i))).cast("double"),
     )
 
 
 def _unit_length(v: Column) -> Column:
-    # Text without words keeps its zero vector.
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(v, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)).cast("float"))
+    scaled = lambda n: F.transform(
+        v, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0)).cast("float")
+    )
+    return F.when(v.isNotNull(), let(norm, scaled))
 
 
 def _encoder_udf(factory: EncoderFactory, batch_size: int):
@@ -79,9 +86,7 @@ def embed(
     if batch_size < 1:
         raise ValueError("batch_size must be positive")
     if encoder == "hashing":
-        slotted = df.withColumn(out, hashed_slots(text, width))
-        counted = slotted.withColumn(out, slot_counts(F.col(out), width))
-        return counted.withColumn(out, _unit_length(F.col(out)))
+        return df.withColumn(out, hashing_vector(text, width))
     if not callable(encoder):
         raise ValueError(f"unknown encoder {encoder!r}: use 'hashing' or an encoder factory")
     return df.withColumn(out, _encoder_udf(encoder, batch_size)(F.col(text)))

@@ -40,13 +40,8 @@ def clean(
     stop: Sequence[str] = T.STOP_HASHTAGS,
     mode: str = "all",
 ) -> DataFrame:
-    """Clean one text column in place.
-
-    Two projections: emoji are named once per row, then the masks run in generated
-    code. Works on batch and streaming tables alike.
-    """
-    named = df.withColumn(col, T.demojize(col, names))
-    return named.withColumn(col, T.mask_text(col, stop, mode))
+    """Clean one text column in place, in batch and streaming tables alike."""
+    return df.withColumn(col, T.clean_text(col, names, stop, mode))
 
 
 def merge_record(df: DataFrame, values: Mapping[str, Any]) -> DataFrame:

@@ -12,13 +12,14 @@ from textlab.operators.labelled import clean
 
 
 def read_text_stream(
-    spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None
+    spark: SparkSession, folder: str, schema: T.StructType, files: str = "*.parquet",
+    max_files: int | None = None,
 ) -> DataFrame:
     """Parquet files of a folder as a stream, ``max_files`` per micro-batch."""
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", files)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path)
+    return reader.parquet(folder)
 
 
 def clean_stream(
