@@ -120,7 +120,7 @@ def embeddings(spark: SparkSession, sf: str) -> DataFrame:
 
 def unrolled(df: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
     """``key, dim, value`` rows of a vector column, for comparison."""
-    return df.select(key, F.posexplode(vector).alias("dim", "value")).select(
+    return df.select(key, F.posexplode_outer(vector).alias("dim", "value")).select(
         key, "dim", (F.round(F.col("value").cast("double"), 6) + F.lit(0.0)).alias("value")
     )
 

@@ -31,7 +31,8 @@ def hashing_vector(col: Column | str, width: int = 64) -> Column:
     words = F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
     head = lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10)
     slots = F.transform(words, lambda w: (head(w).cast("bigint") % width).cast("int"))
-    return let(slots, lambda s: let(_slot_counts(s, width), _unit_length))
+    vector = let(slots, lambda s: let(_slot_counts(s, width), _unit_length))
+    return F.when(c.isNotNull(), vector)
 
 
 def _slot_counts(slots: Column, width: int) -> Column:
@@ -46,7 +47,7 @@ def _unit_length(v: Column) -> Column:
     scaled = lambda n: F.transform(
         v, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0)).cast("float")
     )
-    return F.when(v.isNotNull(), let(norm, scaled))
+    return let(norm, scaled)
 
 
 def _encoder_udf(factory: EncoderFactory, batch_size: int):

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlab.functions.keys import shuffle_key
+from textlab.functions.keys import key_bucket, shuffle_key
 from textlab.operators.ranks import beyond, find_cuts, running_max
 
 MIN_LIVES = 3
@@ -117,7 +117,8 @@ def rung_survivors(
     """Halving rungs at ``grace * factor**i`` below ``cap``: at each rung the better
     ``1/factor`` (rounded up) of the reports survive; ties are drawn by seeded digest.
 
-    Only the score bucket that holds a rung's cut is ranked.
+    The search for a rung's cut narrows from score levels to one score and on to a byte
+    of the digest, so a score shared by very many trials is not ranked in one task.
     """
     rungs = rung_levels(grace, factor, cap)
     reports = (
@@ -127,15 +128,14 @@ def rung_survivors(
     )
     order = ["_loss", "_key"]
     score = F.least(F.greatest(F.col(f1), F.lit(0.0)), F.lit(1.0))
-    level = F.floor((1.0 - score) * 4095).cast("bigint")
-    # Equal scores are split further by the leading byte of the key.
-    bucket = level * 256 + F.conv(F.substring("_key", 1, 2), 16, 10).cast("bigint")
+    level = F.floor((1.0 - score) * 4095)
+    buckets = [level, F.col("_loss"), key_bucket(F.col("_key"))]
 
     def targets(sizes: dict) -> dict:
         return {g: [-(-n // factor)] for g, n in sizes.items()}
 
     # The rungs grow geometrically, so they always fit the literal form.
-    _, cuts = find_cuts(reports, bucket, order, targets, by=iteration)
+    _, cuts = find_cuts(reports, buckets, order, targets, by=iteration)
     keep = F.lit(False)
     for rung, cut in cuts.items():
         keep = keep | ((F.col(iteration) == rung) & ~beyond(order, cut[0]))

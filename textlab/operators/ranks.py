@@ -8,7 +8,7 @@ the table itself is never shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 from typing import Any
 
@@ -72,21 +72,28 @@ def beyond(order: Sequence[str], cut: Sequence[Any]) -> Column:
 
 def find_cuts(
     df: DataFrame,
-    bucket: Column,
+    buckets: Sequence[Column],
     order: Sequence[str],
     targets: Callable[[dict[Any, int]], dict[Any, list[int]]],
     by: str | None = None,
 ) -> tuple[dict[Any, int], dict[Any, list[tuple | None]]] | None:
     """Rows standing at given ranks of each group.
 
-    ``targets`` maps the group sizes to the wanted ranks. Returns the group sizes and,
-    per group, the order values at each rank (None for a rank below one). Returns None
-    when there are too many groups or cuts for literals; callers then rank all rows.
-    Two narrow passes: bucket counts, then the few buckets that hold a cut.
+    ``targets`` maps the group sizes to the wanted ranks. ``buckets`` narrow the search
+    step by step: each must not decrease along ``order`` among rows that agree in the
+    earlier ones, and only rows that agree in all of them are ranked together. Returns
+    the group sizes and, per group, the order values at each rank (None for a rank below
+    one), or None when there are too many groups or cuts for literals; callers then rank
+    all rows. Every step is a narrow pass that counts rows per bucket.
     """
     group = F.col(by) if by else F.lit(0)
-    keyed = df.select(group.alias("_group"), bucket.alias("_bucket"), *order)
-    counts = keyed.groupBy("_group", "_bucket").agg(F.count(F.lit(1)).alias("_n")).persist()
+    names = [f"_b{i}" for i in range(len(buckets))]
+    keyed = df.select(group.alias("_group"), *[b.alias(n) for b, n in zip(buckets, names)], *order)
+
+    def counted(rows: DataFrame, depth: int) -> DataFrame:
+        return rows.groupBy("_group", *names[: depth + 1]).agg(F.count(F.lit(1)).alias("_n"))
+
+    counts = counted(keyed, 0).persist()
     try:
         totals = rows_if_small(
             counts.groupBy("_group").agg(F.sum("_n").alias("_n")), MAX_LITERAL_CUTS
@@ -95,44 +102,56 @@ def find_cuts(
             return None
         sizes = {r["_group"]: r["_n"] for r in totals}
         wanted = targets(sizes)
-        flat = sorted({(g, t) for g, ts in wanted.items() for t in ts if t > 0}, key=repr)
-        if len(flat) > MAX_LITERAL_CUTS:
+        # Per cut: the bucket path so far, and the rank that is left within it.
+        left = {(g, t): ((g,), t) for g, ts in wanted.items() for t in ts if t > 0}
+        if len(left) > MAX_LITERAL_CUTS:
             return None
-        found: dict[tuple[Any, int], tuple] = {}
-        if flat:
-            offsets = bucket_offsets(counts, ["_group"], "_bucket", "_n")
-            holds = [
-                F.col("_group").eqNullSafe(F.lit(g))
-                & (F.col("_before") < t) & (F.col("_before") + F.col("_n") >= t)
-                for g, t in flat
-            ]
-            # At most one bucket per cut: the result is bounded by the cut count.
-            at = offsets.where(reduce(Column.__or__, holds)).collect()
-            inside = {
-                (g, t): (r["_bucket"], t - r["_before"])
-                for g, t in flat for r in at
-                if r["_group"] == g and r["_before"] < t <= r["_before"] + r["_n"]
-            }
-            w = Window.partitionBy("_group", "_bucket").orderBy(*order)
-            in_cut_bucket = reduce(Column.__or__, [
-                F.col("_group").eqNullSafe(F.lit(r["_group"])) & (F.col("_bucket") == r["_bucket"])
-                for r in at
-            ])
-            at_rank = reduce(Column.__or__, [
-                F.col("_group").eqNullSafe(F.lit(g)) & (F.col("_bucket") == b) & (F.col("_rn") == k)
-                for (g, _), (b, k) in inside.items()
-            ])
-            ranked = keyed.where(in_cut_bucket).withColumn("_rn", F.row_number().over(w))
-            values = {
-                (r["_group"], r["_bucket"], r["_rn"]): tuple(r[o] for o in order)
-                for r in ranked.where(at_rank).collect()
+        rows: DataFrame = keyed
+        for depth, name in enumerate(names):
+            path = ["_group", *names[:depth]]
+            if depth:
+                rows = keyed.where(_any(_at(path, p) for p, _ in left.values()))
+                counts_here = counted(rows, depth)
+            else:
+                counts_here = counts
+            here = bucket_offsets(counts_here, path, name, "_n")
+            holding = _any(
+                _at(path, p) & (F.col("_before") < k) & (F.col("_before") + F.col("_n") >= k)
+                for p, k in left.values()
+            )
+            # One bucket holds each cut, so the result is no longer than the cut list.
+            hits = here.where(holding).collect()
+            left = {
+                cut: (p + (r[name],), k - r["_before"])
+                for cut, (p, k) in left.items() for r in hits
+                if tuple(r[c] for c in path) == p and r["_before"] < k <= r["_before"] + r["_n"]
             }
-            found = {(g, t): values[(g, b, k)] for (g, t), (b, k) in inside.items()}
+        path = ["_group", *names]
+        w = Window.partitionBy(*path).orderBy(*order)
+        ranked = keyed.where(_any(_at(path, p) for p, _ in left.values())).withColumn(
+            "_rn", F.row_number().over(w)
+        )
+        at_rank = ranked.where(_any(_at(path, p) & (F.col("_rn") == k) for p, k in left.values()))
+        values = {
+            (tuple(r[c] for c in path), r["_rn"]): tuple(r[o] for o in order)
+            for r in at_rank.collect()
+        }
+        found = {cut: values[at] for cut, at in left.items()}
         return sizes, {g: [found.get((g, t)) for t in ts] for g, ts in wanted.items()}
     finally:
         counts.unpersist()
 
 
+def _at(columns: Sequence[str], values: Sequence[Any]) -> Column:
+    return reduce(
+        Column.__and__, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(columns, values)]
+    )
+
+
+def _any(tests: Iterable[Column]) -> Column:
+    return reduce(Column.__or__, tests, F.lit(False))
+
+
 # -- running values ---------------------------------------------------------
 
 def running_max(

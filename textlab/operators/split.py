@@ -43,7 +43,7 @@ def exact_split(
         raise ValueError("fraction must lie in [0, 1]")
     keyed = _keyed(df, seed, row_id)
     _, cuts = find_cuts(
-        keyed, key_bucket(F.col("_key")), _order(row_id),
+        keyed, [key_bucket(F.col("_key"))], _order(row_id),
         lambda sizes: {g: [int(fraction * n)] for g, n in sizes.items()},
     )
     side = F.when(_passed(row_id, cuts.get(0, [])) == 0, TRAIN).otherwise(VALIDATION)
@@ -60,7 +60,7 @@ def kfold(df: DataFrame, k: int = 5, seed: int = 42, row_id: str = "row_id") ->
     _check_k(k)
     keyed = _keyed(df, seed, row_id)
     cuts = find_cuts(
-        keyed, key_bucket(F.col("_key")), _order(row_id),
+        keyed, [key_bucket(F.col("_key"))], _order(row_id),
         lambda sizes: {g: _even_cuts(n, k) for g, n in sizes.items()},
     )
     if cuts is None:  # more folds than literals
@@ -103,7 +103,7 @@ def stratified_kfold(
             offset += sizes[g]
         return out
 
-    cuts = find_cuts(keyed, key_bucket(F.col("_key")), _order(row_id), targets, by=label)
+    cuts = find_cuts(keyed, [key_bucket(F.col("_key"))], _order(row_id), targets, by=label)
     if cuts is None:
         return _stratified_by_rank(keyed, k, label, row_id).drop("_key")
     fold = F.lit(None).cast("int")

@@ -28,7 +28,7 @@ def write_summary(result: DataFrame, path: str, config: Mapping[str, Any] | None
     clash = set(result.columns) & set(config or {})
     settings = {k: v for k, v in (config or {}).items() if k not in clash}
     merged = merge_record(result, settings).select(*settings, *result.columns)
-    merged.write.option("ignoreNullFields", False).json(path)
+    merged.coalesce(1).write.option("ignoreNullFields", False).json(path)
     return path
 
 
