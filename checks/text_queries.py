@@ -288,10 +288,9 @@ SELECT hashtag, count(*) AS count, count(label) AS labelled,
 FROM tags GROUP BY hashtag""")
 def hashtag_label_balance(spark, sf):
     """Hashtags of the cleaned corpus with the balance of the labels they occur under."""
-    tags = labelled.clean(V.tweets(spark, sf)).where(F.col("text").contains("#")).select(
-        "label", F.explode(X.hashtags("text")).alias("hashtag")
-    )
-    counts = tags.groupBy("hashtag").agg(
+    cleaned = labelled.clean(V.tweets(spark, sf))
+    tags = cleaned.select("label", explore.exploded_hashtags("text"))
+    counts = tags.where(F.col("hashtag").isNotNull()).groupBy("hashtag").agg(
         F.count(F.lit(1)).alias("count"), F.count("label").alias("labelled"),
         F.coalesce(F.sum("label"), F.lit(0)).alias("positive"),
     )

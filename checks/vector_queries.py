@@ -60,7 +60,8 @@ SELECT c.row_id, CAST(c.dim AS INTEGER) AS dim,
 FROM cells c LEFT JOIN counts k ON c.row_id = k.row_id AND c.dim = k.dim
 LEFT JOIN norms m ON c.row_id = m.row_id""")
 def embed_hashing(spark, sf):
-    return V.unrolled(embed.embed(V.tweets(spark, sf)), "row_id")
+    tasks = spark.sparkContext.defaultParallelism
+    return V.unrolled(embed.embed(V.tweets(spark, sf), partitions=tasks), "row_id")
 
 
 @query("embed_encoder", f"""WITH {V.TWEETS_CTE}
@@ -71,7 +72,8 @@ def embed_encoder(spark, sf):
     def factory():
         return lambda texts: [(len(t), t.count(" ")) for t in texts]
 
-    vectors = embed.embed(V.tweets(spark, sf), factory, batch_size=16)
+    tasks = spark.sparkContext.defaultParallelism
+    vectors = embed.embed(V.tweets(spark, sf), factory, batch_size=16, partitions=tasks)
     return vectors.select(
         "row_id", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(("chars", "spaces"))]
     )

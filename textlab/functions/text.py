@@ -7,7 +7,7 @@ the scan stage: no Python worker and no shuffle. Null text stays null.
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -165,17 +165,21 @@ def demojize(
     _check_names(names)
     pattern = emoji_pattern(names)
     left, right = (F.lit(d) for d in delimiters)
-    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
 
-    def weave(gaps: Column) -> Column:
+    def weave(found: Column, gaps: Column) -> Column:
         named = F.transform(
             found,
             lambda t, i: F.concat(left, emoji_name(t, names), right, F.get(gaps, i + 1)),
         )
         return F.concat(F.get(gaps, F.lit(0)), F.array_join(named, ""))
 
-    rebuilt = let(F.split(c, pattern, -1), weave)
-    return F.when(_may_hold_emoji(c, names) & c.rlike(pattern), rebuilt).otherwise(c)
+    rebuilt = let(
+        F.regexp_extract_all(c, F.lit(pattern), F.lit(0)),
+        lambda found: F.when(
+            F.size(found) > 0, let(F.split(c, pattern, -1), lambda gaps: weave(found, gaps))
+        ).otherwise(c),
+    )
+    return F.when(_may_hold_emoji(c, names), rebuilt).otherwise(c)
 
 
 # -- hashtags, mentions, links ----------------------------------------------
@@ -234,12 +238,20 @@ def strip_text(col: Column | str) -> Column:
 def mask_text(
     col: Column | str, stop: Sequence[str] = STOP_HASHTAGS, mode: str = "all"
 ) -> Column:
-    """Hashtags, mentions, links, then the ends. Text without any marker takes the
-    byte-level tests only."""
+    """Hashtags, mentions, links, then the ends. A byte test keeps text without the
+    marker of a step away from its regex."""
     c = _col(col)
-    marked = c.contains("#") | c.contains("@") | c.contains("://")
-    masked = mask_urls(mask_mentions(mask_hashtags(c, stop, mode)))
-    return strip_text(F.when(marked, masked).otherwise(c))
+
+    def where_marked(t: Column, marker: str, step: Callable[[Column], Column]) -> Column:
+        return F.when(t.contains(marker), step(t)).otherwise(t)
+
+    return let(
+        where_marked(c, "#", lambda t: mask_hashtags(t, stop, mode)),
+        lambda t: let(
+            where_marked(t, "@", mask_mentions),
+            lambda u: strip_text(where_marked(u, "://", mask_urls)),
+        ),
+    )
 
 
 def clean_text(

@@ -77,15 +77,19 @@ def embed(
     batch_size: int = 32,
     width: int = 64,
     out: str = "embedding",
+    partitions: int | None = None,
 ) -> DataFrame:
     """Adds a float vector per text.
 
     ``encoder`` is ``"hashing"`` or a factory that loads a model inside each task; only
     the text column crosses to Python. Embed once, store the result, and reuse it for
-    every fold, trial and fit.
+    every fold, trial and fit. ``partitions`` spreads the rows evenly first, for encoders
+    that take far longer than moving their text.
     """
     if batch_size < 1:
         raise ValueError("batch_size must be positive")
+    if partitions is not None:
+        df = df.repartition(partitions)
     if encoder == "hashing":
         return df.withColumn(out, hashing_vector(text, width))
     if not callable(encoder):

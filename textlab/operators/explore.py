@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlab.functions import text as T
@@ -23,15 +23,20 @@ def count_labels(df: DataFrame, label: str = "label") -> DataFrame:
     return top(counts, "count", label)
 
 
+def exploded_hashtags(col: str = "text") -> Column:
+    """One row per hashtag, and a null for text without any. Unlike a plain ``explode``,
+    this does not make Spark test the array, and run the regex, once more beforehand."""
+    return F.explode_outer(T.hashtags(col)).alias("hashtag")
+
+
 def count_hashtags(df: DataFrame, col: str = "text", k: int | None = None) -> DataFrame:
     """Occurrences of every hashtag in raw text, case-sensitive.
 
     A hashtag in a third of the rows costs nothing extra: counts are combined before
     the shuffle.
     """
-    tags = df.where(F.col(col).contains("#")).select(
-        F.explode(T.hashtags(col)).alias("hashtag")
-    )
+    tags = df.where(F.col(col).contains("#")).select(exploded_hashtags(col))
+    tags = tags.where(F.col("hashtag").isNotNull())
     return top(tags.groupBy("hashtag").agg(F.count(F.lit(1)).alias("count")), "count", "hashtag", k)
 
 

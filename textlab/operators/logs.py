@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlab.functions.keys import key_bucket, shuffle_key
-from textlab.operators.ranks import beyond, find_cuts, running_max
+from textlab.operators.ranks import beyond, find_cuts, fits_one_block, running_max
 
 MIN_LIVES = 3
 NO_STOP = 2**31 - 1
@@ -23,18 +23,21 @@ def _with_stop(
     """Adds ``_best`` (score and epoch of the best so far; an equal score counts as
     better) and ``_stop``, the epoch the run ends after."""
     score = F.struct(F.col(f1).alias("f1"), F.col(epoch).alias("epoch"))
-    run_best = running_max(df, run, epoch, score, "_best", width=width)
+    short = fits_one_block(df, epoch, width)
+    run_best = running_max(df, run, epoch, score, "_best", width=width, one_block=short)
     if not enabled:
         return run_best.withColumn("_stop", F.lit(NO_STOP))
     p = F.col(patience) if isinstance(patience, str) else patience
     out_of_lives = F.col(epoch) - F.col("_best.epoch") >= F.greatest(F.lit(MIN_LIVES), p)
-    first = run_best.groupBy(run, "_block").agg(
-        F.min(F.when(out_of_lives, F.col(epoch))).alias("_first")
-    )
+    stop = F.when(out_of_lives, F.col(epoch))
+    whole_run = Window.partitionBy(run)
+    if short:
+        first = F.min(stop).over(whole_run)
+        return run_best.withColumn("_stop", F.coalesce(first, F.lit(NO_STOP)))
     # One row per block: the run's first stop is handed to all its blocks, so the join
     # keeps the partitioning of the windows.
-    whole_run = Window.partitionBy(run)
-    stops = first.select(
+    blocks = run_best.groupBy(run, "_block").agg(F.min(stop).alias("_first"))
+    stops = blocks.select(
         run, "_block",
         F.coalesce(F.min("_first").over(whole_run), F.lit(NO_STOP)).alias("_stop"),
     )
@@ -134,8 +137,13 @@ def rung_survivors(
     def targets(sizes: dict) -> dict:
         return {g: [-(-n // factor)] for g, n in sizes.items()}
 
-    # The rungs grow geometrically, so they always fit the literal form.
-    _, cuts = find_cuts(reports, buckets, order, targets, by=iteration)
+    # The rungs grow geometrically, so they always fit the literal form; the few reports
+    # at the rungs are read by every step of the search.
+    narrow = reports.select(iteration, f1, *order).persist()
+    try:
+        _, cuts = find_cuts(narrow, buckets, order, targets, by=iteration)
+    finally:
+        narrow.unpersist()
     keep = F.lit(False)
     for rung, cut in cuts.items():
         keep = keep | ((F.col(iteration) == rung) & ~beyond(order, cut[0]))

@@ -154,28 +154,41 @@ def _any(tests: Iterable[Column]) -> Column:
 
 # -- running values ---------------------------------------------------------
 
+def fits_one_block(df: DataFrame, order: str, width: int) -> bool:
+    """Whether every group is at most ``width`` long, measured by its largest step."""
+    longest = df.agg(F.max(order)).first()[0]
+    return longest is None or longest < width
+
+
 def running_max(
     df: DataFrame, by: str, order: str, value: Column, name: str,
-    inclusive: bool = True, width: int = 65_536, block: str = "_block",
+    inclusive: bool = True, width: int = 65_536, one_block: bool | None = None,
 ) -> DataFrame:
-    """Running maximum of ``value`` along the integer column ``order`` within ``by``.
+    """Running maximum of ``value`` along the step column ``order`` (0, 1, ..) within
+    ``by``.
 
-    Each block of ``width`` steps runs on its own and takes over the maximum of the
-    earlier blocks, so no group is processed by a single task. The block column stays
-    in the result for further work on the same partitioning.
+    Groups measured to be short take one window. Otherwise each block of ``width`` steps
+    runs on its own and takes over the maximum of the earlier blocks, so no group is
+    processed by a single task; the ``_block`` column stays for work on the same
+    partitioning.
     """
     last = 0 if inclusive else -1
-    keyed = df.withColumn(block, F.floor(F.col(order) / F.lit(width))).withColumn("_value", value)
-    tops = keyed.groupBy(by, block).agg(F.max("_value").alias("_top"))
-    earlier = Window.partitionBy(by).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    carry = tops.select(by, block, F.max("_top").over(earlier).alias("_carry"))
+    if one_block is None:
+        one_block = fits_one_block(df, order, width)
+    if one_block:
+        w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, last)
+        return df.withColumn(name, F.max(value).over(w))
+    keyed = df.withColumn("_block", F.floor(F.col(order) / F.lit(width))).withColumn("_value", value)
+    tops = keyed.groupBy(by, "_block").agg(F.max("_value").alias("_top"))
+    earlier = Window.partitionBy(by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tops.select(by, "_block", F.max("_top").over(earlier).alias("_carry"))
     w = (
-        Window.partitionBy(by, block).orderBy(order)
+        Window.partitionBy(by, "_block").orderBy(order)
         .rowsBetween(Window.unboundedPreceding, last)
     )
     return (
         keyed.withColumn("_inside", F.max("_value").over(w))
-        .join(carry, [by, block])
+        .join(carry, [by, "_block"])
         .withColumn(name, F.greatest("_inside", "_carry"))
         .drop("_value", "_inside", "_carry")
     )

@@ -14,15 +14,17 @@ def rows_if_small(df: DataFrame, limit: int = MAX_SMALL_ROWS) -> list[Row] | Non
     return rows if len(rows) <= limit else None
 
 
+def localized(df: DataFrame, limit: int = MAX_SMALL_ROWS) -> DataFrame | None:
+    """A driver-side copy of a small table, computed once; None when it is not small."""
+    rows = rows_if_small(df, limit)
+    return None if rows is None else df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def lookup_join(
     df: DataFrame, table: DataFrame, on: str | list[str], how: str = "inner",
     limit: int = MAX_SMALL_ROWS,
 ) -> DataFrame:
     """Equi-join with a side table: broadcast when measured small, else shuffled, where
-    adaptive execution splits skewed keys. The measured rows are reused, so the side
-    table is computed once."""
-    rows = rows_if_small(table, limit)
-    if rows is None:
-        return df.join(table, on, how)
-    local = df.sparkSession.createDataFrame(rows, table.schema)
-    return df.join(F.broadcast(local), on, how)
+    adaptive execution splits skewed keys."""
+    local = localized(table, limit)
+    return df.join(table, on, how) if local is None else df.join(F.broadcast(local), on, how)

@@ -35,9 +35,10 @@ def fit_linear(
     l1: float = 0.0,
     weight_decay: float = 0.0,
     max_iter: int = 100,
+    weights: DataFrame | None = None,
 ) -> LogisticRegressionModel:
     """Logistic regression with L1 and L2 penalty; several classes are weighted by
-    inverse frequency. Gradients are summed on the executors in a tree.
+    inverse frequency unless ``weights`` (``label, weight``) are given. Gradients are summed on the executors in a tree.
 
     Unlike a ReLU head this has no hidden layer; a given ReLU head can be scored exactly
     with ``functions.scoring.score_head``.
@@ -50,7 +51,8 @@ def fit_linear(
         family="multinomial" if multiclass else "binomial",
     )
     if multiclass:
-        weights = class_weights(data).select("label", F.col("weight").alias(WEIGHT))
+        weights = class_weights(data) if weights is None else weights
+        weights = weights.select(F.col("label").cast("double").alias("label"), F.col("weight").alias(WEIGHT))
         data = lookup_join(data, weights, "label")
         solver = solver.setWeightCol(WEIGHT)
     return solver.fit(data)

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlab.operators.explore import count_labels
-from textlab.operators.logs import MIN_LIVES, early_stop, run_summary
+from textlab.operators.logs import MIN_LIVES
 from textlab.operators.metrics import class_weights
+from textlab.operators.small import localized
 from textlab.operators.split import TRAIN, VALIDATION, exact_split
 from textlab.plans.config import Config
 from textlab.plans.evaluate import evaluate
@@ -45,12 +46,20 @@ def _validate(model: Model, val: DataFrame, config: Config, weights: DataFrame |
     return evaluate(score(model, val, multiclass=config.multi), config.multi, weights=weights).first()
 
 
-def fit_once(df: DataFrame, config: Config, epochs: int) -> Model:
+def _weights(df: DataFrame) -> DataFrame:
+    table = class_weights(df)
+    local = localized(table)
+    return table if local is None else local
+
+
+def fit_once(
+    df: DataFrame, config: Config, epochs: int, weights: DataFrame | None = None
+) -> Model:
     """Fit without validation for a given number of epochs."""
     if config.head == "linear":
         return fit_linear(
             df, multiclass=config.multi, l1=config.l1, weight_decay=config.weight_decay,
-            max_iter=epochs,
+            max_iter=epochs, weights=weights,
         )
     return _mlp(df, config, epochs * STEPS_PER_EPOCH)
 
@@ -83,15 +92,16 @@ def run_session(
     table = df if "split" in df.columns else exact_split(df, config.split, config.seed)
     train = table.where(F.col("split") == TRAIN)
     val = table.where(F.col("split") == VALIDATION)
-    weights = class_weights(train) if config.multi else None
-
+    weights = _weights(train) if config.multi else None
+    best_epoch = 0
     log: list[tuple] = []
     best: Model | None = None
     if config.head == "linear":
-        best = fit_once(train, config, config.max_epochs)
+        best = fit_once(train, config, config.max_epochs, weights)
         m = _validate(best, val, config, weights)
         last = max(best.summary.totalIterations, 1) - 1
         log.append((run_id, last, m["loss"], m["accuracy"], m["f1"], config.patience))
+        best_epoch = last
     else:
         width = train.select(F.size("embedding")).first()[0]
         lives, best_f1, state = max(MIN_LIVES, config.patience), -1.0, None
@@ -101,15 +111,17 @@ def run_session(
             m = _validate(model, val, config, weights)
             log.append((run_id, epoch, m["loss"], m["accuracy"], m["f1"], config.patience))
             if m["f1"] >= best_f1:
-                best, best_f1, lives = model, m["f1"], max(MIN_LIVES, config.patience)
+                best, best_f1, best_epoch = model, m["f1"], epoch
+                lives = max(MIN_LIVES, config.patience)
             else:
                 lives -= 1
                 if stop_early and lives == 0:
                     break
 
     epochs = df.sparkSession.createDataFrame(log, LOG_SCHEMA)
-    means = run_summary(epochs, enabled=stop_early).first()
-    at = early_stop(epochs, enabled=stop_early).first()
     return Session(
-        best, epochs, means["avg_acc"], means["avg_f1"], means["last_epoch"], at["best_epoch"]
+        best, epochs,
+        avg_acc=sum(row[3] for row in log) / len(log),
+        avg_f1=sum(row[4] for row in log) / len(log),
+        last_epoch=log[-1][1] + 1, best_epoch=best_epoch,
     )
