@@ -55,7 +55,7 @@ def test_multiclass_weights_lift_the_rare_class(data):
 def test_mlp_continues_from_weights(data):
     first = fit_mlp(data, hidden=(4,), max_iter=2)
     more = fit_mlp(data, hidden=(4,), max_iter=20, start=first.weights)
-    assert more.layers == [4, 4, 2]
+    assert more.getLayers() == [4, 4, 2]
     assert score(more, data).where("label = pred").count() > 100
 
 
