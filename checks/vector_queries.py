@@ -313,10 +313,10 @@ def epoch_loss_compat(spark, sf):
 
 @query("l1_penalty", """SELECT round(0.001::DOUBLE * sum(list_sum(
 [abs(CAST(v AS DOUBLE)) for v in embedding])), 6) AS penalty
-FROM embeddings WHERE vec_id % 8 <> 0""")
+FROM embeddings WHERE label <> 0""")
 def l1_penalty(spark, sf):
     weights = V.embeddings(spark, sf).select(
-        F.col("embedding").alias("w"), (F.col("vec_id") % 8 == 0).alias("is_bias")
+        F.col("embedding").alias("w"), (F.col("label") == 0).alias("is_bias")
     )
     return metrics.l1_penalty(weights, 0.001).select(V.r6("penalty").alias("penalty"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tests.helpers import loop_early_stop
 from textlab.operators import logs, sampling
 
-quick = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+quick = settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 RUNS = st.lists(st.tuples(st.lists(st.sampled_from([0.0, 0.2, 0.4, 0.5, 0.9]), min_size=1, max_size=14),
                           st.integers(2, 5)), min_size=1, max_size=12)
 

@@ -73,6 +73,12 @@ def test_session(data, head):
     log = s.epochs.collect()
     assert s.avg_f1 == pytest.approx(sum(r["f1"] for r in log) / len(log))
     assert s.last_epoch == log[-1]["epoch"] + 1 and 0 <= s.best_epoch < s.last_epoch
+    assert s.test is None
+
+
+def test_session_tests_the_best_model(data):
+    s = run_session(data, Config(multi=True, max_epochs=5, weight_decay=1e-3), test=data)
+    assert s.test["accuracy"] > 0.85 and s.test["loss"] > 0
     with pytest.raises(ValueError):
         run_session(data, Config(head="tree"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from textlab.operators.labelled import labelled
 from textlab.sources import delimited as D
 from textlab.sources import sinks
-from textlab.sources.storage import fresh_path, materialize, shared_dir
+from textlab.sources.storage import fresh_path, materialize, shared_dir, store_with_row_id
 from textlab.streaming.clean import clean_stream, read_text_stream
 
 TRICKY = ['he said "hi", ok', "two\nlines", 'back\\"slash', "tab\there", '"', "  spaced  ", "é 😂", "#a,b"]
@@ -50,6 +50,20 @@ def test_malformed_number_fails(spark, tmp_path):
         D.read_labelled_csv(spark, str(tmp_path / "a.csv")).collect()
 
 
+def test_wrong_header_fails(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("row_id,Label,Tweet text\n1,0,x\n")
+    with pytest.raises(Exception):
+        D.read_labelled_csv(spark, str(tmp_path / "a.csv")).collect()
+
+
+def test_files_without_a_key(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Tweet text,Label\nx,0\ny,1\n")
+    raw = D.read_labelled_csv(spark, str(tmp_path / "a.csv"), T.StructType(SCHEMA.fields[1:]))
+    df = labelled(store_with_row_id(raw, "keyed"))
+    assert df.select("row_id").distinct().count() == 2
+    assert rows_of(df) == rows_of(df)
+
+
 def test_read_many(spark, tmp_path, rows):
     for n in ("a", "b"):
         write(tmp_path / f"{n}.csv", rows, ",")

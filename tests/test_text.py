@@ -129,6 +129,11 @@ def test_emoji_tokens(spark):
         (1, 0, "😂", "joy"), (1, 1, "❤️", "heart"), (1, 2, "👩", None)]
 
 
+def test_names_of_a_table(spark):
+    table = spark.createDataFrame([("😂", "joy")], "emoji string, name string")
+    assert run(spark, ["😂"], X.demojize("t", explore.names_of(table))) == ["::joy::"]
+
+
 def test_merge_record_narrows(spark):
     df = spark.createDataFrame([(1,)], "a int")
     row = labelled.merge_record(df, {"a": 2**40, "b": 7, "c": None, "d": True, "e": 0.5})

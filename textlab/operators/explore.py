@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlab.functions import text as T
-from textlab.operators.small import lookup_join
+from textlab.operators.small import lookup_join, rows_if_small
 
 
 def top(df: DataFrame, count: str, tie: str, k: int | None = None) -> DataFrame:
@@ -50,3 +50,11 @@ def emoji_tokens(
     return lookup_join(tokens, names.select("emoji", "name"), "emoji", how="left").select(
         row_id, "pos", "emoji", "name"
     )
+
+
+def names_of(table: DataFrame) -> dict[str, str]:
+    """A stored dictionary ``emoji, name`` for the text functions."""
+    rows = rows_if_small(table.select("emoji", "name"), T.MAX_LITERAL_NAMES)
+    if rows is None:
+        raise ValueError("the dictionary is too large for a literal; use emoji_tokens")
+    return {r["emoji"]: r["name"] for r in rows}

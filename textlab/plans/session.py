@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Model
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from textlab.operators.explore import count_labels
@@ -24,7 +24,8 @@ STEPS_PER_EPOCH = 5
 
 @dataclass(frozen=True)
 class Session:
-    """Best model, its log (one row per validated epoch) and the mean metrics."""
+    """Best model, its log (one row per validated epoch), the mean metrics, and the
+    metrics row of the test table when one was given."""
 
     model: Model
     epochs: DataFrame
@@ -32,6 +33,7 @@ class Session:
     avg_f1: float
     last_epoch: int
     best_epoch: int
+    test: Row | None = None
 
 
 def split_counts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -42,8 +44,9 @@ def split_counts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def _validate(model: Model, val: DataFrame, config: Config, weights: DataFrame | None):
-    return evaluate(score(model, val, multiclass=config.multi), config.multi, weights=weights).first()
+def _validate(model: Model, df: DataFrame, config: Config, weights: DataFrame | None) -> Row:
+    scored = score(model, df, multiclass=config.multi)
+    return evaluate(scored, config.multi, weights=weights).first()
 
 
 def _weights(df: DataFrame) -> DataFrame:
@@ -78,6 +81,7 @@ def run_session(
     config: Config,
     run_id: str = "session",
     stop_early: bool = True,
+    test: DataFrame | None = None,
 ) -> Session:
     """Train on an embedded table ``row_id, embedding, label`` and validate.
 
@@ -124,4 +128,5 @@ def run_session(
         avg_acc=sum(row[3] for row in log) / len(log),
         avg_f1=sum(row[4] for row in log) / len(log),
         last_epoch=log[-1][1] + 1, best_epoch=best_epoch,
+        test=None if test is None else _validate(best, test, config, weights),
     )

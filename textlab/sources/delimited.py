@@ -22,7 +22,7 @@ LABELLED_SCHEMA = T.StructType([
 # Quotes are doubled inside quoted fields, and a field may hold line breaks.
 READ_OPTIONS = {
     "header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8",
-    "mode": "FAILFAST",
+    "mode": "FAILFAST", "enforceSchema": False,
 }
 WRITE_OPTIONS = {
     "header": True, "quote": '"', "escape": '"', "encoding": "UTF-8",
@@ -37,7 +37,9 @@ def read_labelled_csv(
     sep: str = ",",
     quote: str = '"',
 ) -> DataFrame:
-    """CSV with header under a fixed schema; a malformed record fails the read.
+    """CSV with header under a fixed schema; a malformed record or a header that names
+    other columns fails the read. Files without a key: leave ``row_id`` out of the schema
+    and store the table with `store_with_row_id`.
 
     Quoted line breaks make a file unsplittable, so land large inputs as many files, or
     once as parquet.

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -16,11 +17,10 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get(CHECKPOINT_DIR, None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors share")
-    own = tempfile.mkdtemp(prefix="textlab-")
-    spark.conf.set(CHECKPOINT_DIR, own)
-    return own
+    return f"{tempfile.gettempdir()}/textlab-{context.applicationId}"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -34,3 +34,10 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     target = path or fresh_path(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(target)
     return df.sparkSession.read.schema(df.schema).parquet(target)
+
+
+def store_with_row_id(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Give rows without a key a ``row_id`` and store them with it. The id depends on the
+    file layout, so it is drawn once and read back from then on."""
+    keyed = df.select(F.monotonically_increasing_id().alias("row_id"), "*")
+    return materialize(keyed, name, path)
