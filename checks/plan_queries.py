@@ -31,7 +31,9 @@ def vectors(spark, sf, classes: int):
 
 
 def embedded_tweets(spark, sf):
-    return materialize(embed_labelled(V.labelled_tweets(spark, sf), "hashing"), "tweets")
+    tasks = spark.sparkContext.defaultParallelism
+    rows = V.labelled_tweets(spark, sf)
+    return materialize(embed_labelled(rows, "hashing", partitions=tasks), "tweets")
 
 
 @query("fit_linear")

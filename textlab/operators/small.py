@@ -15,9 +15,12 @@ def rows_if_small(df: DataFrame, limit: int = MAX_SMALL_ROWS) -> list[Row] | Non
 
 
 def localized(df: DataFrame, limit: int = MAX_SMALL_ROWS) -> DataFrame | None:
-    """A driver-side copy of a small table, computed once; None when it is not small."""
-    rows = rows_if_small(df, limit)
-    return None if rows is None else df.sparkSession.createDataFrame(rows, df.schema)
+    """A driver-side copy of a small table, computed once; None when it is not small.
+    Travelling as Arrow it comes back as a local relation of known size."""
+    table = df.limit(limit + 1).toArrow()
+    if table.num_rows > limit:
+        return None
+    return df.sparkSession.createDataFrame(table, df.schema)
 
 
 def lookup_join(

@@ -71,9 +71,10 @@ def embed_labelled(
     encoder: str | EncoderFactory,
     names: Mapping[str, str] | None = None,
     batch_size: int = 32,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Cleaned and embedded ``row_id, text, label`` table."""
-    return embed(clean(df, "text", names), encoder, "text", batch_size)
+    return embed(clean(df, "text", names), encoder, "text", batch_size, partitions=partitions)
 
 
 def evaluate_file(

@@ -113,6 +113,7 @@ def run_experiment(
     space: Mapping = SEARCH_SPACE,
     parallelism: int = 2,
     names: Mapping[str, str] | None = None,
+    partitions: int | None = None,
 ) -> dict[str, Experiment]:
     """Per encoder: embed both ``row_id, text, label`` tables once and store them, then
     search, cross-validate the best settings, refit on all training rows for as many
@@ -122,10 +123,10 @@ def run_experiment(
     for name, encoder in encoders.items():
         base = config.with_(emb_model=name)
         embedded = materialize(
-            embed_labelled(train, encoder, names, base.batch_size), f"train-{name}"
+            embed_labelled(train, encoder, names, base.batch_size, partitions), f"train-{name}"
         )
         tested = materialize(
-            embed_labelled(test, encoder, names, base.batch_size), f"test-{name}"
+            embed_labelled(test, encoder, names, base.batch_size, partitions), f"test-{name}"
         )
         found = search(embedded, base, space=space, parallelism=parallelism)
         cv = cross_validate(embedded, found.best, parallelism=parallelism)
