@@ -88,12 +88,18 @@ def embedding_profile(spark, sf):
 @query("pool_first", unrolled_sql("first", "doc_id", "embedding",
        f"{V.TOKENS_CTE}, first AS (SELECT doc_id, embedding FROM tokens WHERE token = 0)"))
 def pool_first(spark, sf):
-    # Ten short vectors per document: gathering them is bounded by the token count.
-    per_doc = V.tokens(spark, sf).groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("token", "embedding"))).alias("t")
+    return V.unrolled(embed.pool_first(V.tokens(spark, sf)), "doc_id")
+
+
+@query("pool_first_array", unrolled_sql("embeddings", "vec_id", "embedding",
+       "self AS (SELECT 1)"))
+def pool_first_array(spark, sf):
+    """The first of an array of token vectors: the vector itself before its reverse."""
+    tokens = F.array("embedding", F.reverse("embedding"))
+    return V.unrolled(
+        V.embeddings(spark, sf).select("vec_id", scoring.pool_first(tokens).alias("embedding")),
+        "vec_id",
     )
-    tokens = F.transform("t", lambda e: e["embedding"])
-    return V.unrolled(per_doc.select("doc_id", scoring.pool_first(tokens).alias("embedding")), "doc_id")
 
 
 def _mean_sql(where: str) -> str:

@@ -110,6 +110,12 @@ def embedding_profile(df: DataFrame, vector: str = "embedding") -> DataFrame:
     return got.select("n_rows", width.cast("int").alias("width"))
 
 
+def pool_first(df: DataFrame, token: str = "token") -> DataFrame:
+    """Vector of the first token of every document in long form: a filter, no grouping.
+    For arrays of token vectors see ``functions.scoring.pool_first``."""
+    return df.where(F.col(token) == 0)
+
+
 def pool_mean(
     df: DataFrame,
     key: str = "doc_id",
