@@ -73,8 +73,11 @@ def embed_labelled(
     batch_size: int = 32,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Cleaned and embedded ``row_id, text, label`` table."""
-    return embed(clean(df, "text", names), encoder, "text", batch_size, partitions=partitions)
+    """Cleaned and embedded ``row_id, text, label`` table. ``partitions`` spreads the
+    raw rows first, for inputs of few large blocks."""
+    if partitions is not None:
+        df = df.repartition(partitions)
+    return embed(clean(df, "text", names), encoder, "text", batch_size)
 
 
 def evaluate_file(
