@@ -6,10 +6,39 @@ from pyspark.sql import DataFrame, SparkSession
 
 from checks.registry import query
 from checks.views import table
-from textlab.llm import simhash
+from textlab.llm import simhash, substring
 
 
 @query("op7_simhash")
 def op7_simhash(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     return simhash.simhash_groups(table(spark, sf, "documents")).drop("fp")
+
+
+OP8_SQL = r"""
+WITH w AS (
+  SELECT doc_id,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+win AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS h
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+rep AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM win WHERE h IN (SELECT h FROM rep)),
+word AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM w),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY p) AS words
+  FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+  CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(words, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op8_substring", OP8_SQL)
+def op8_substring(spark: SparkSession, sf: str) -> DataFrame:
+    """Words left of every document after cutting repeated passages of 35 words."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return substring.remove_repeats(docs).drop("text", "kept")
