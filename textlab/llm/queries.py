@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from checks.registry import query
 from checks.views import table
-from textlab.llm import simhash, substring
+from textlab.llm import mixing, simhash, substring
 
 
 @query("op7_simhash")
@@ -42,3 +42,9 @@ def op8_substring(spark: SparkSession, sf: str) -> DataFrame:
     """Words left of every document after cutting repeated passages of 35 words."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return substring.remove_repeats(docs).drop("text", "kept")
+
+
+@query("op10_mixing")
+def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """Words that the mix takes from every document."""
+    return mixing.mix_counts(table(spark, sf, "documents")).drop("source")
