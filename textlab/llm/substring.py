@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ def pack(df: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     cut whenever their texts reach ``block_bytes`` (a longer text is a block of its own)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = pa.compute.binary_length(batch[text]).fill_null(0).to_numpy()
+            sizes = pc.binary_length(batch[text]).fill_null(0).to_numpy()
             ends = np.cumsum(sizes.astype(np.int64))
             at = 0
             while at < batch.num_rows:
@@ -281,11 +282,12 @@ def remove_repeats(
                 starts = at[_repeated(keys, parts2, row["second"])]
                 yield from _cut(table, words, starts, window).to_batches()
 
-    first = _replies(blocks.mapInArrow(send_anchors, SENT), 8)
-    marked = materialize(
-        blocks.select("block", "payload").join(first, "block", "left"), "substring_marked")
+    # Replies hold a bit per hash; payloads are read again rather than stored again.
+    first = materialize(_replies(blocks.mapInArrow(send_anchors, SENT), 8), "substring_anchors")
+    marked = blocks.select("block", "payload").join(first, "block", "left")
     second = _replies(marked.mapInArrow(send_windows, SENT), 16)
-    ready = marked.join(second.withColumnRenamed("reply", "second"), "block", "left")
+    second = materialize(second.withColumnRenamed("reply", "second"), "substring_windows")
+    ready = marked.join(second, "block", "left")
     fields = "n_words long, n_removed long, kept_sha256 string, kept string"
     out = spark.createDataFrame([], fields).schema
     return ready.mapInArrow(cut, type(schema)(schema.fields + out.fields))
