@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from checks.registry import query
 from checks.views import table
-from textlab.llm import mixing, simhash, substring
+from textlab.llm import bpe, mixing, simhash, substring
 
 
 @query("op7_simhash")
@@ -48,3 +49,11 @@ def op8_substring(spark: SparkSession, sf: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """Words that the mix takes from every document."""
     return mixing.mix_counts(table(spark, sf, "documents")).drop("source")
+
+
+@query("op6_bpe")
+def op6_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Token ids and round trip of every document, as digests."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.encode_documents(docs, path, digests=True).drop("text")
