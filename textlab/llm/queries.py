@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from checks.registry import query
 from checks.views import table
-from textlab.llm import bpe, mixing, simhash, substring
+from textlab.llm import bpe, langid, mixing, simhash, substring
 
 
 @query("op7_simhash")
@@ -57,3 +58,13 @@ def op6_bpe(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_50k.json")
     return bpe.encode_documents(docs, path, digests=True).drop("text")
+
+
+@query("op2_langid")
+def op2_langid(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of every document, learned from the rows that are not held out."""
+    docs = table(spark, sf, "documents")
+    model = langid.learn(docs)
+    out = langid.predict_languages(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"),
+                      "lang_pred", "score")
