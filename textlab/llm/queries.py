@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from checks.registry import query
 from checks.views import table
-from textlab.llm import bpe, langid, mixing, simhash, substring
+from textlab.llm import bpe, langid, licences, mixing, simhash, substring, urls
+from textlab.llm.licence_texts import EQUIVALENT, LICENCES, NOTICES
 
 
 @query("op7_simhash")
@@ -68,3 +69,80 @@ def op2_langid(spark: SparkSession, sf: str) -> DataFrame:
     out = langid.predict_languages(docs.select("doc_id", "text"), model)
     return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"),
                       "lang_pred", "score")
+
+
+# Fixed values: (host, path, verdict).
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+OP4_SQL = rf"""
+WITH r(r_host, r_path, r_verdict) AS (VALUES {", ".join(map(str, URL_RULES))}),
+cut AS (
+  SELECT row_number() OVER () AS n, page_id,
+    CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+p AS (
+  SELECT n, page_id,
+    translate(regexp_extract(rest, '^[^/?#]*'), '{urls._UPPER}', '{urls._LOWER}') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut),
+fit AS (
+  SELECT p.*, r_host || r_path AS rule, r_verdict,
+    row_number() OVER (PARTITION BY n ORDER BY length(r_host || r_path) DESC NULLS LAST,
+      length(r_host) DESC) AS place
+  FROM p LEFT JOIN r ON (host = r_host OR ends_with(host, '.' || r_host))
+    AND starts_with(path, r_path))
+SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict FROM fit WHERE place = 1
+"""
+
+
+@query("op4_urls", OP4_SQL)
+def op4_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdict on the url of every page."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    out = urls.judge_urls(table(spark, sf, "pages").select("page_id", "url"), rules)
+    return out.drop("url")
+
+
+def _canonical_sql(line: str) -> str:
+    kept = (f"CASE WHEN regexp_matches(lower({line}), '{licences.COPYRIGHT}') THEN '' "
+            f"ELSE lower({line}) END")
+    words = f"(' ' || regexp_replace({kept}, '{licences.NOT_A_WORD}', '  ', 'g') || ' ')"
+    for variant, standard in EQUIVALENT:
+        words = f"replace({words}, ' {licences._wide(variant)} ', ' {licences._wide(standard)} ')"
+    return f"replace(trim({words}), '  ', ' ')"
+
+
+def _known_sql(entries: list[tuple[str, str]]) -> str:
+    rows = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in e)) for e in entries)
+    return f"""
+SELECT sha256(array_to_string({_lines_sql("t")}, ' ')) AS h, min(id) AS id
+FROM (VALUES {rows}) v(id, t) GROUP BY h"""
+
+
+def _lines_sql(text: str) -> str:
+    return (f"list_filter(list_transform(regexp_split_to_array(coalesce({text}, ''), "
+            f"'{licences.LINE_BREAK}'), lambda l: {_canonical_sql('l')}), lambda l: l <> '')")
+
+
+OP9_SQL = f"""
+WITH whole AS ({_known_sql(LICENCES)}), single AS ({_known_sql(NOTICES)}),
+d AS (SELECT row_number() OVER () AS n, doc_id, {_lines_sql("text")} AS lines FROM documents),
+found AS (
+  SELECT n, string_agg(DISTINCT id, ',' ORDER BY id) AS notices
+  FROM (SELECT n, sha256(unnest(lines)) AS h FROM d) JOIN single USING (h) GROUP BY n)
+SELECT doc_id, sha256(array_to_string(lines, ' ')) AS digest, whole.id AS licence, notices
+FROM d LEFT JOIN whole ON whole.h = sha256(array_to_string(lines, ' '))
+LEFT JOIN found USING (n)
+"""
+
+
+@query("op9_licences", OP9_SQL)
+def op9_licences(spark: SparkSession, sf: str) -> DataFrame:
+    """Known licence and notices of every document."""
+    return licences.scan_licences(table(spark, sf, "documents").select("doc_id", "text")).drop("text")
