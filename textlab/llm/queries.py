@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import query
 from checks.views import table
-from textlab.llm import bpe, langid, licences, mixing, simhash, substring, urls
+from textlab.llm import bpe, langid, licences, mixing, simhash, substring, urls, vafile
 from textlab.llm.licence_texts import EQUIVALENT, LICENCES, NOTICES
 
 
@@ -146,3 +146,25 @@ LEFT JOIN found USING (n)
 def op9_licences(spark: SparkSession, sf: str) -> DataFrame:
     """Known licence and notices of every document."""
     return licences.scan_licences(table(spark, sf, "documents").select("doc_id", "text")).drop("text")
+
+
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query("op5_vafile", OP5_SQL)
+def op5_vafile(spark: SparkSession, sf: str) -> DataFrame:
+    """Five best matches of every query among all vectors."""
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return vafile.top_k(rows, F.col("vec_id") % 50 == 0)
