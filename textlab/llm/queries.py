@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import query
 from checks.views import table
-from textlab.llm import bpe, langid, licences, mixing, simhash, substring, urls, vafile
+from textlab.llm import bpe, extract, langid, licences, mixing, simhash, substring, urls, vafile
 from textlab.llm.licence_texts import EQUIVALENT, LICENCES, NOTICES
 
 
@@ -168,3 +168,9 @@ def op5_vafile(spark: SparkSession, sf: str) -> DataFrame:
     """Five best matches of every query among all vectors."""
     rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
     return vafile.top_k(rows, F.col("vec_id") % 50 == 0)
+
+
+@query("op3_extract")
+def op3_extract(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of every page."""
+    return extract.extract_pages(table(spark, sf, "pages"))
