@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import query
 from checks.views import table
-from textlab.llm import bpe, extract, langid, licences, mixing, simhash, substring, urls, vafile
+from textlab.llm import bpe, collisions, extract, langid, licences, mixing, simhash, substring, urls, vafile
 from textlab.llm.licence_texts import EQUIVALENT, LICENCES, NOTICES
 
 
@@ -174,3 +174,29 @@ def op5_vafile(spark: SparkSession, sf: str) -> DataFrame:
 def op3_extract(spark: SparkSession, sf: str) -> DataFrame:
     """Main text of every page."""
     return extract.extract_pages(table(spark, sf, "pages"))
+
+
+OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id,
+  vec_id = component_id AS kept
+FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+
+@query("op1_collisions", OP1_SQL)
+def op1_collisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Links and near-duplicate group of every vector."""
+    return collisions.near_duplicates(table(spark, sf, "embeddings").select("vec_id", "embedding"))
