@@ -158,10 +158,14 @@ def window_keys(words: Words, at: np.ndarray, window: int) -> np.ndarray:
 
 # -- one bit for each distinct hash of a block ------------------------------
 
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    lead = keys.view("<u8")[:: keys.dtype.itemsize // 8]
+    return (lead % np.uint64(parts)).astype(np.int64)
+
+
 def _split(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """Distinct keys by part, in a fixed order."""
-    lead = keys.view("<u8").reshape(len(keys), -1)[:, 0]
-    part = (lead % np.uint64(parts)).astype(np.int64)
+    part = _part(keys, parts)
     order = np.argsort(part, kind="stable")
     bounds = np.flatnonzero(np.diff(part[order], prepend=-1, append=parts))
     for a, b in zip(bounds[:-1], bounds[1:]):
@@ -195,8 +199,7 @@ def _repeated(keys: np.ndarray, parts: int, reply: list) -> np.ndarray:
     for p, k in _split(distinct, parts):
         bits = np.frombuffer(again[p], np.uint8) if p in again else np.zeros((len(k) + 7) // 8, np.uint8)
         flags.append(np.unpackbits(bits, count=len(k)).astype(bool))
-    lead = distinct.view("<u8").reshape(len(distinct), -1)[:, 0]
-    order = np.argsort((lead % np.uint64(parts)).astype(np.int64), kind="stable")
+    order = np.argsort(_part(distinct, parts), kind="stable")
     seen = np.zeros(len(distinct), bool)
     if flags:
         seen[order] = np.concatenate(flags)
