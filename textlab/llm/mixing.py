@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textlab.functions.binding import let
 from textlab.llm.common import WORD, word_count
 from textlab.sources.storage import materialize
 
@@ -133,8 +134,8 @@ def _few(sources: DataFrame, limit: int = 10_000) -> bool:
 
 
 def quotas(targets: DataFrame, block_words: int) -> DataFrame:
-    """Slots of each source: ``n_blocks``, ``n_slots``, ``last_words`` (words taken from
-    the block of the last slot) and ``slots_before`` (slots of the sources before it)."""
+    """Per source ``n_blocks``, ``n_slots``, ``rounds`` (times every block is used), ``rest``
+    (words taken beyond them) and ``slots_before`` (slots of the sources before it)."""
     goal = F.round("target").cast("bigint")
     blocks = F.ceil(F.col("source_size") / block_words)
     w = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
@@ -284,9 +285,9 @@ def mixed_documents(
     rows = rows.withColumn("_twin", F.row_number().over(
         Window.partitionBy("_order").orderBy(F.lit(0))))
     words = F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"))
-    joined = F.array_join(F.flatten(F.transform(
-        "spans", lambda s: F.slice("_words", s["at"].cast("int") + 1, s["words"].cast("int")))), " ")
-    out = rows.join(keys, ["_order", "_twin"]).withColumn("_words", words).withColumn(text, joined)
+    joined = let(words, lambda w: F.array_join(F.flatten(F.transform(
+        "spans", lambda s: F.slice(w, s["at"].cast("int") + 1, s["words"].cast("int")))), " "))
+    out = rows.join(keys, ["_order", "_twin"]).withColumn(text, joined)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
