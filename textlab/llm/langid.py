@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from textlab.llm.common import bounded_batches
+
 UNDETERMINED = "und"
 STEPS = 64
 HIDDEN = 8
@@ -24,6 +26,7 @@ HIDDEN = 8
 SAMPLE_ROWS = 2400
 SAMPLE_BYTES = 2048
 ROUNDS = 400
+MAX_LANGUAGES = 200
 BATCH = 192
 _SIDE_BY_SIDE = 4096
 _GATES = ("update", "reset", "new")
@@ -205,19 +208,28 @@ def learn(
     rows: int = SAMPLE_ROWS, n_bytes: int = SAMPLE_BYTES, **options,
 ) -> Model:
     """Fit on at most ``rows`` labelled rows that are not held out, the same number of each
-    language where there are enough, taken by a hash of the id; of a text the first
-    ``n_bytes`` bytes are learned from. These bounds hold for training alone."""
-    known = docs.where(~held_out(F.col(doc_id)) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    key = F.xxhash64(F.lit(11), doc_id)
-    names = [r[0] for r in known.groupBy(lang).count().orderBy(F.desc("count"), lang)
-             .limit(200).select(lang).collect()]
-    each = max(1, rows // max(1, len(names)))
+    of the ``MAX_LANGUAGES`` most frequent languages where there are enough, taken by a
+    hash of the id; of a text the first ``n_bytes`` bytes are learned from. These bounds
+    hold for training alone."""
+    known = docs.where(~held_out(F.col(doc_id)) & F.col(lang).isNotNull())
+    counts = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES).collect()
+    if not counts:
+        return train([], [], **options)
+    each = max(1, rows // len(counts))
+    # Of every language the range of the hash that holds about twice the wanted rows, so
+    # that few rows reach the driver whatever the number of tasks; the limit is a bound.
+    shares = F.create_map(*[F.lit(x) for r in counts for x in (
+        r[0], min(1.0, (2 * each + 50) / r["count"]))])
+    place = F.pmod(F.xxhash64(F.lit(11), doc_id), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    near = known.where(F.col(text).isNotNull()).select(
+        F.col(lang).alias("lang"), (place / F.element_at(shares, F.col(lang))).alias("place"),
+        F.substring(text, 1, n_bytes).alias("t"))
+    taken: dict[str, int] = {}
     picked: list[tuple[str, bytes]] = []
-    for name in sorted(names):  # a bounded top-k per language, never a window over all rows
-        part = known.where(F.col(lang) == name).select(
-            F.substring(text, 1, n_bytes).alias("t"), key.alias("k"))
-        picked += [(name, r.t.encode()[:n_bytes])
-                   for r in part.orderBy("k", "t").limit(each).collect()]
+    for r in near.where("place < 1").orderBy("place", "t").limit(3 * rows + 100 * len(counts)).collect():
+        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
+        if taken[r["lang"]] <= each:
+            picked.append((r["lang"], r["t"].encode()[:n_bytes]))
     return train([t for _, t in picked], [n for n, _ in picked], **options)
 
 
@@ -233,9 +245,9 @@ def predictor(model: Model):
             rows: list[np.ndarray] = []
             raw = [(t or "").encode() for t in texts]
             at = 0
-            while at < len(raw):  # about 4 MB at a time
+            while at < len(raw):  # about 1 MB at a time
                 to, size = at, 0
-                while to < len(raw) and (to == at or size < 4 << 20):
+                while to < len(raw) and (to == at or size < 1 << 20):
                     size += len(raw[to])
                     to += 1
                 rows.append(pooled(model, raw[at:to]))
@@ -253,6 +265,7 @@ def predict_languages(docs: DataFrame, model: Model, text: str = "text") -> Data
     all bytes of the text. A null text, or one without a letter, gets ``und`` and score 0,
     as does every text if the model knows no language. Columns of these names are replaced."""
     docs = docs.drop("lang_pred", "score")
+    bounded_batches(docs.sparkSession)
     if not model.languages:
         return docs.withColumn("lang_pred", F.lit(UNDETERMINED)).withColumn("score", F.lit(0.0))
     has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
