@@ -26,15 +26,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
+from textlab.llm.common import bounded_batches
+from textlab.sources.storage import materialize
+
 LEXICON_WORDS = 65_536
 # Counts kept per task while words are counted; see `word_counts`.
 COUNTER_WORDS = 200_000
-_CHUNK = 1 << 20
-_MEMO_WORDS = 400_000
+_CHUNK = 1 << 19
+_MEMO_WORDS = 100_000
 _NONE = np.int32(2**31 - 1)
 # Words up to this many bytes are merged side by side, so many at a time.
 _LONG = 40
@@ -370,16 +373,16 @@ class Coder:
 
     def __init__(self, merges: Merges, lexicon: Lexicon):
         self.merges, self.lexicon = merges, lexicon
-        self.seen: dict[bytes, np.ndarray] = {}
+        self.seen: dict[bytes, bytes] = {}  # ids as four bytes each
 
-    def _unknown(self, words: list[bytes]) -> list[np.ndarray]:
+    def _unknown(self, words: list[bytes]) -> list[bytes]:
         """Ids of words outside the lexicon; recent ones are remembered."""
         seen = self.seen
         new = [w for w in dict.fromkeys(words) if w not in seen]
         if len(seen) + len(new) > _MEMO_WORDS:
             seen.clear()
             new = list(dict.fromkeys(words))
-        seen.update(zip(new, self.merges.encode_many(new)))
+        seen.update(zip(new, (ids.tobytes() for ids in self.merges.encode_many(new))))
         return [seen[w] for w in words]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -415,14 +418,14 @@ class Coder:
         missing = np.flatnonzero(rank < 0)
         other = self._unknown([raw[a:b] for a, b in zip(
             starts[missing].tolist(), starts[missing + 1].tolist())])
-        count[missing] = np.fromiter(map(len, other), np.int64, len(other))
+        count[missing] = np.fromiter(map(len, other), np.int64, len(other)) // 4
         begin = np.concatenate(([0], np.cumsum(count)))
         ids = np.empty(begin[-1], np.int32)
         known = np.repeat(rank >= 0, count)
         source = np.repeat(np.where(rank >= 0, lex.at[rank], 0) - begin[:-1], count)
         ids[known] = lex.ids[(source + np.arange(begin[-1]))[known]]
         if other:
-            ids[~known] = np.concatenate(other)
+            ids[~known] = np.frombuffer(b"".join(other), np.int32)
         cuts = begin[first]
         return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
@@ -478,14 +481,23 @@ def word_counts(texts: DataFrame, text: str, keep: int = COUNTER_WORDS) -> DataF
 def lexicon_file(
     docs: DataFrame, tokenizer: str, text: str = "text", size: int = LEXICON_WORDS
 ) -> str:
-    """Compile the ``size`` most frequent words of a corpus and ship the file to the
-    executors; returns its name there. The driver sees at most ``size`` words."""
+    """Compile the most frequent words of a corpus, at most ``size``, and ship the file to
+    the executors; returns its name there. How frequent a word must be follows from a
+    histogram of the logarithm of the counts, so the driver sees that and at most ``size``
+    words, however many tasks count."""
     with open(tokenizer, encoding="utf-8") as f:
         merges = Merges(json.load(f))
-    top = (
-        word_counts(docs, text).where(F.length("word") <= 64)
-        .orderBy(F.desc("n"), "word").limit(size).select("word").collect()
-    )
+    level = F.floor(F.log2("n") * 16)
+    counts = materialize(
+        word_counts(docs, text).where(F.length("word") <= 64).withColumn("level", level),
+        "bpe_words")
+    total, least = 0, None
+    for r in sorted(counts.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+        total += r["count"]
+        if total > size:
+            break
+        least = r["level"]
+    top = [] if least is None else counts.where(F.col("level") >= least).select("word").collect()
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     path = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), name)
     build_file([bytes(r.word) for r in top], merges, path)
@@ -493,7 +505,7 @@ def lexicon_file(
     return name
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _coder(name: str, tokenizer_json: str) -> Coder:
     return Coder(Merges(json.loads(tokenizer_json)), Lexicon(SparkFiles.get(name)))
 
@@ -518,6 +530,7 @@ def encode_documents(
     names = [c.split()[0] for c in new.split(", ")]
     docs = docs.drop(*names)
     spark = docs.sparkSession
+    bounded_batches(spark)
     lexicon = lexicon_file(docs, tokenizer, text, lexicon_words)
     with open(tokenizer, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
@@ -534,7 +547,7 @@ def encode_documents(
     return docs.mapInArrow(run, type(schema)(schema.fields + fields))
 
 
-def _slices(batch: pa.RecordBatch, text: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, text: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive rows with about ``size`` bytes of text."""
     ends = np.cumsum(pc.binary_length(batch[text]).fill_null(0).to_numpy(), dtype=np.int64)
     at = 0
