@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from textlab.llm.common import components
+from textlab.llm.common import bounded_batches, components
 from textlab.sources.storage import materialize
 
 BITS = 64
@@ -158,6 +158,7 @@ def simhash_groups(
     other. A repeated row is returned as often as it occurs. Rows with a null id take
     part; ``component_id`` is null only where no row of the component has an id.
     """
+    bounded_batches(docs.sparkSession)
     hashed = docs.select(F.col(doc_id).alias("doc_id"), fingerprint_of(F.col(text)).alias("fp"))
     fps = materialize(hashed, "simhash_fps")
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))

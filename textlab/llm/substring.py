@@ -7,7 +7,7 @@ cover, so any two equal windows share an equal anchor at the same place inside t
 Windows around a repeated anchor are then extended to full length and compared by a
 128-bit hash.
 
-Texts are packed once into blocks of several MB, stored in the shared folder. A block
+Texts are packed once into blocks of about a MB, stored in the shared folder. A block
 sends each distinct hash once, in an order it can derive again, and gets one bit back for
 each. A passage that a third of all documents hold therefore costs one hash per block,
 and no occurrence list of it exists anywhere.
@@ -24,13 +24,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textlab.llm.common import bounded_batches
 from textlab.sources.storage import materialize
 
 WINDOW = 35
 # A perfect difference set modulo 21; every residue is a difference of two.
 PERIOD = 21
 COVER = (0, 1, 4, 14, 16)
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 # Hashes of one part are sorted in one task: about this many bytes of them.
 PART_BYTES = 4 << 20
 _SPACES = np.zeros(256, bool)
@@ -249,6 +250,7 @@ def remove_repeats(
         raise ValueError("a window needs at least as many words as the period")
     docs = docs.drop("n_words", "n_removed", "kept_sha256", "kept")
     schema, spark = docs.schema, docs.sparkSession
+    bounded_batches(spark)
     blocks = pack(docs, text, block_bytes)
     size = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     # About one word in six bytes, and a share of the cover of them is hashed.

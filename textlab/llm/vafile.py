@@ -13,8 +13,6 @@ those rows gives the result. Nothing is broadcast but the cell bounds (dimension
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
