@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 from textlab.llm import licences
 from textlab.llm.licence_texts import EQUIVALENT, LICENCES, NOTICES
@@ -38,6 +39,29 @@ def test_known_texts_in_other_clothes(spark, documents):
     assert licences.scan_licences(df.limit(0)).count() == 0
 
 
+def wrapped(text, width):
+    """Paragraphs filled to a width; those with a copyright line stay."""
+    return "\n\n".join(p if re.search(r"(?m)^ *Copyright [(\[]", p) else textwrap.fill(p, width)
+                       for p in re.split(r"\n\s*\n", text))
+
+
+def test_wrapped_texts(spark, documents):
+    cases = [(name, "Copyright 2020 A\n\n" + wrapped(text, width))
+             for name, text in LICENCES for width in range(60, 91)]
+    lead = "provided that the above\ncopyright notice and this permission notice appear in all copies."
+    isc = re.sub(r"provided that the above\s+copyright.*?copies\.", lead, dict(LICENCES)["ISC"])
+    bsd = dict(LICENCES)["BSD-3-Clause"]
+    cases += [("ISC", isc), ("MIT", MIT.replace("NONINFRINGEMENT", "NON-\nINFRINGEMENT")),
+              ("MIT", MIT.replace("sublicense", "sub\nlicence").replace("OR COPYRIGHT", "OR\nCOPYRIGHT")),
+              ("BSD-3-Clause", bsd.replace("copyright holder", "copyright\nowner")),
+              ("BSD-3-Clause", bsd.replace("COPYRIGHT HOLDER OR", "\nCOPYRIGHT\nOWNER OR"))]
+    cases += [("MIT", f"{line}\n{MIT}") for line in (
+        "Copyright Some Company, Inc.", "(c) Copyright 2020 A", "Copyright: 2019 B", "copyright by C",
+        "Copyright <YEAR> <HOLDER>", "# COPYRIGHT (C) 2001 D", "Copyright © E")]
+    out = licences.scan_licences(documents([(i, text) for i, (_, text) in enumerate(cases)])).collect()
+    assert [(cases[r.doc_id], r.licence) for r in out if r.licence != cases[r.doc_id][0]] == []
+
+
 def test_canonical_lines_by_brute_force(spark, documents):
     texts = [t for _, t in LICENCES] + ["Licence-licence licences", "non non commercial non-commercial",
                                          "(c) 2020 x", "(c) list item", "** All rights reserved. **",

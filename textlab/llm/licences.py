@@ -1,8 +1,8 @@
 """Licence scan by digests of canonical texts, in DataFrame functions only.
 
 Every line is put into a canonical form: lower case, everything but letters and digits one
-space, equivalent spellings alike; copyright lines vanish. The digest of all lines of a
-text joins with the digests of known licences. The digests of single lines join with those
+space, equivalent spellings alike, also across lines; copyright lines vanish. The digest of
+all lines of a text joins with the digests of known licences. The digests of single lines join with those
 of known notices.
 """
 
@@ -15,16 +15,27 @@ from textlab.llm.licence_texts import EQUIVALENT, LICENCES, NOTICES
 
 LINE_BREAK = r"\r\n|\n|\r"
 COPYRIGHT = r"^[^\p{L}\p{N}©]*(©|copyright\b|\(c\) *(copyright\b|\d)|all rights reserved)"
+# The above is the rule of the SQL form; here only a line with a holder is a copyright line:
+# a sign, a year, 'by' or a blank to fill in after the word, or a name after 'Copyright'.
+HOLDER = (r"^[^\p{L}\p{N}©]*(?:(?i:©|all rights reserved|\(c\) *\d"
+          r"|(?:\(c\) *)?copyright[\s,:.–—-]*(?:©|&copy;|\(c\)|\d|by\b|[\[<{]))"
+          r"|(?:\([cC]\) *)?Copyright\s+(?!(?:Act|Disclaimer|Holder|Interest|Law|Licen[cs]e|Notice|Owner"
+          r"|Statement)s?\b)\p{Lu})")
 NOT_A_WORD = r"[^\p{L}\p{N}]+"
 
 
 def canonical_line(line: Column) -> Column:
     """Canonical form of a line, empty for a copyright line."""
     low = F.lower(line)
-    kept = F.when(low.rlike(COPYRIGHT), F.lit("")).otherwise(low)
-    # Two spaces between words, so that neighbours do not share one.
-    words = F.concat(F.lit(" "), F.regexp_replace(kept, NOT_A_WORD, "  "), F.lit(" "))
-    for variant, standard in EQUIVALENT:
+    kept = F.when(line.rlike(HOLDER), F.lit("")).otherwise(low)
+    return _respelled(F.regexp_replace(kept, NOT_A_WORD, "  "), EQUIVALENT)
+
+
+def _respelled(words: Column, spellings: list[tuple[str, str]]) -> Column:
+    """Words in their standard spelling. They come with two spaces in between, so that
+    neighbours do not share one."""
+    words = F.concat(F.lit(" "), words, F.lit(" "))
+    for variant, standard in spellings:
         words = F.replace(words, F.lit(f" {_wide(variant)} "), F.lit(f" {_wide(standard)} "))
     return F.replace(F.trim(words), F.lit("  "), F.lit(" "))
 
@@ -40,7 +51,10 @@ def canonical_lines(text: Column) -> Column:
 
 
 def digest(lines: Column) -> Column:
-    return F.sha2(F.array_join(lines, " "), 256)
+    """Digest of the joined lines; spellings of several words may lie on two lines."""
+    several = [x for x in EQUIVALENT if " " in x[0]]
+    return F.sha2(_respelled(F.array_join(F.transform(
+        lines, lambda x: F.replace(x, F.lit(" "), F.lit("  "))), "  "), several), 256)
 
 
 def known_digests(spark: SparkSession, entries: list[tuple[str, str]]) -> DataFrame:
