@@ -2,7 +2,7 @@ import re
 import textwrap
 
 from textlab.llm import licences
-from textlab.llm.licence_texts import EQUIVALENT, LICENCES, NOTICES
+from textlab.llm.licence_texts import EQUIVALENT, LICENCES, NOTICES, full_texts
 
 MIT = dict((k, t) for k, t in reversed(LICENCES))["MIT"]
 
@@ -62,6 +62,15 @@ def test_wrapped_texts(spark, documents):
     assert [(cases[r.doc_id], r.licence) for r in out if r.licence != cases[r.doc_id][0]] == []
 
 
+def test_whole_published_texts(spark, documents):
+    known = full_texts()
+    assert {"Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-3.0-only", "MPL-2.0", "CC0-1.0"} <= {n for n, _ in known}
+    cases = [(name, text.replace("https:", "http:")) for name, text in known]
+    cases += [(name, wrapped(text, width)) for name, text in known for width in (66, 72, 78, 84)]
+    got = licences.scan_licences(documents([(i, text) for i, (_, text) in enumerate(cases)]))
+    assert [cases[r.doc_id] for r in got.collect() if r.licence != cases[r.doc_id][0]] == []
+
+
 def test_canonical_lines_by_brute_force(spark, documents):
     texts = [t for _, t in LICENCES] + ["Licence-licence licences", "non non commercial non-commercial",
                                          "(c) 2020 x", "(c) list item", "** All rights reserved. **",

@@ -1,5 +1,10 @@
 """Texts of licences and of the notices that name them."""
 
+from __future__ import annotations
+
+import re
+from pathlib import Path
+
 # Published licence texts, without their copyright lines.
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -64,6 +69,22 @@ LICENCES = [
     ("GPL-3.0-or-later", _GPL_HEADER),
 ]
 
+# The advice on how to apply a licence follows this line; many copies end before or with it.
+_END = re.compile(r"^ *END OF TERMS AND CONDITIONS *$", re.M)
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(identifier, text) of the whole published licences in the folder ``licence_data``,
+    also without the advice after their terms."""
+    out = []
+    for path in sorted((Path(__file__).parent / "licence_data").glob("*.txt")):
+        text = path.read_text("utf-8")
+        out.append((path.stem, text))
+        if end := _END.search(text):
+            out += [(path.stem, text[: end.end()]), (path.stem, text[: end.start()])]
+    return out
+
+
 # (identifier, line): notices that stand for a licence on a line of their own.
 NOTICES = [
     (name, f"{lead} {title}.")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm.licence_texts import EQUIVALENT, LICENCES, NOTICES
+from textlab.llm.licence_texts import EQUIVALENT, LICENCES, NOTICES, full_texts
 
 LINE_BREAK = r"\r\n|\n|\r"
 COPYRIGHT = r"^[^\p{L}\p{N}©]*(©|copyright\b|\(c\) *(copyright\b|\d)|all rights reserved)"
@@ -82,7 +82,7 @@ def scan_licences(
     rows give equal results. Columns with the names of the new ones are replaced.
     """
     spark = docs.sparkSession
-    whole = known_digests(spark, LICENCES if licences is None else licences)
+    whole = known_digests(spark, [*LICENCES, *full_texts()] if licences is None else licences)
     single = known_digests(spark, NOTICES if notices is None else notices)
     listed = single.collect()  # as many as the given list
     longest = max((r.n_chars for r in listed), default=0)
