@@ -95,3 +95,10 @@ def test_odd_rows(spark, documents):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 2, 3, 9]
     assert simhash.simhash_groups(df.limit(0)).count() == 0
     assert simhash.one_per_group(df.limit(0)).count() == 0
+
+
+def test_a_repeated_id_stands_for_each_of_its_groups(spark, documents):
+    one, two, three = ("".join(f"{w}{i} " for i in range(60)) for w in ("alpha", "beta", "gamma"))
+    rows = [(5, one), (5, two), (5, two), (7, one), (8, two), (3, three), (5, three)]
+    kept = simhash.one_per_group(documents(rows)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(3, three), (5, one), (5, two)]

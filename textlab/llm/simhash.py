@@ -158,6 +158,13 @@ def simhash_groups(
     other. A repeated row is returned as often as it occurs. Rows with a null id take
     part; ``component_id`` is null only where no row of the component has an id.
     """
+    return _labelled(docs, text, doc_id, tau).select(
+        "doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _labelled(docs: DataFrame, text: str, doc_id: str, tau: int) -> DataFrame:
+    """``doc_id, fp, label, component_id`` for every row; ``label`` tells components apart
+    whose smallest ids are equal."""
     bounded_batches(docs.sparkSession)
     hashed = docs.select(F.col(doc_id).alias("doc_id"), fingerprint_of(F.col(text)).alias("fp"))
     fps = materialize(hashed, "simhash_fps")
@@ -166,18 +173,21 @@ def simhash_groups(
     labelled = distinct.join(label, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("label"))
     ids = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_fp = labelled.join(ids, "label").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select(
-        "doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of_fp = labelled.join(ids, "label").select("fp", "label", "component_id")
+    return fps.join(of_fp, "fp").select("doc_id", "fp", "label", "component_id")
 
 
 def one_per_group(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tau: int = TAU
 ) -> DataFrame:
     """The rows of ``docs`` that represent their near-duplicate group: the one with the
-    smallest id, once if that id is repeated. Rows with a null id are kept."""
-    groups = simhash_groups(docs, text, doc_id, tau)
-    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    named = docs.where(F.col(doc_id).isNotNull()).join(stay, doc_id, "left_semi")
-    return named.dropDuplicates([doc_id]).select(docs.columns).unionByName(
+    smallest id, of several such rows one with the smallest fingerprint. An id with texts of
+    several groups may represent each of them. Rows with a null id are kept."""
+    groups = _labelled(docs, text, doc_id, tau)
+    stay = groups.where("doc_id = component_id").groupBy("label").agg(
+        F.min(F.struct("doc_id", "fp")).alias("_least")).select(
+        F.col("_least.doc_id").alias(doc_id), F.col("_least.fp").alias("_fp"))
+    named = docs.where(F.col(doc_id).isNotNull()).withColumn("_fp", fingerprint_of(F.col(text)))
+    named = named.join(stay, [doc_id, "_fp"], "left_semi")
+    return named.dropDuplicates([doc_id, "_fp"]).select(docs.columns).unionByName(
         docs.where(F.col(doc_id).isNull()))
