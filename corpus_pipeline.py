@@ -15,15 +15,26 @@ from checks.registry import query
 from textlab.llm import bpe, langid, mixing, simhash, substring
 from textlab.sources.storage import materialize
 
-# A mean probability below this is close to a guess among the languages.
+# A mean probability below this is close to a guess among so many languages.
 MIN_SCORE = 0.3
+SCORE_LANGUAGES = 4
+
+
+def least_score(n_languages: int) -> float:
+    """The same multiple of a guess for any number of learned languages; with one there is
+    nothing to guess."""
+    return MIN_SCORE * SCORE_LANGUAGES / n_languages if n_languages > 1 else 0.0
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language: no letter, or a score close to a guess. The
-    network learns from the labelled rows of the input that are not held out."""
-    judged = langid.predict_languages(docs, langid.learn(docs))
-    sure = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_SCORE)
+    network learns from the labelled rows of the input that are not held out; if it learns
+    nothing, documents with a letter stay."""
+    model = langid.learn(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    judged = langid.predict_languages(docs, model)
+    sure = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= least_score(len(model.languages)))
     return judged.where(sure).select(docs.columns)
 
 

@@ -35,3 +35,18 @@ def test_empty_documents(spark, documents):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
     assert docs.count() == 0
+
+
+def test_language_bar_follows_the_number_of_languages(spark, documents, monkeypatch):
+    assert corpus_pipeline.least_score(4) == corpus_pipeline.MIN_SCORE
+    assert corpus_pipeline.least_score(1) == 0 and corpus_pipeline.least_score(40) < 0.05
+    assert 0.5 < corpus_pipeline.least_score(2) < 1
+    docs = documents([(1, "some words"), (2, "123"), (3, None)]).selectExpr(
+        "doc_id", "text", "CAST(NULL AS string) AS lang", "source", "n_chars")
+    assert [r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()] == [1]
+    # Two languages and a score between the old bar and the new one.
+    two = documents([(1, "some words")])
+    monkeypatch.setattr(langid, "learn", lambda docs: type("Model", (), {"languages": ["en", "de"]})())
+    monkeypatch.setattr(langid, "predict_languages", lambda docs, model: docs.selectExpr(
+        "*", "'en' AS lang_pred", "0.52D AS score"))
+    assert corpus_pipeline.identify_language(spark, two, "").count() == 0
