@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 
 from checks.registry import query
 from checks.views import table
-from textlab.llm import bpe, collisions, extract, langid, licences, mixing, simhash, substring, urls, vafile
+from textlab.functions.binding import let
+from textlab.llm import (
+    bpe, collisions, extract, langid, licences, mixing, runs, simhash, substring, urls, vafile,
+)
+from textlab.llm.common import WORD
 from textlab.llm.licence_texts import EQUIVALENT, LICENCES, NOTICES
 
 
@@ -200,3 +204,97 @@ FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
 def op1_collisions(spark: SparkSession, sf: str) -> DataFrame:
     """Links and near-duplicate group of every vector."""
     return collisions.near_duplicates(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+
+
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Every tenth document by crc32 of its id repeats a stretch of its words from some
+    place on. A null id plants nothing."""
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(F.col("_crc") / 10)
+
+    def planted(words):
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        at = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(
+            words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
+        return F.when(n > 0, F.array_join(at, " ")).otherwise("")
+
+    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(0))
+    text = F.when(F.col("_crc") % 10 == 0, let(words, planted)).otherwise(F.col("text"))
+    return docs.select("doc_id", "text", crc.alias("_crc")).select("doc_id", text.alias("text"))
+
+
+# Factors of up to 2**15 words: periods of documents of up to 98,304 words.
+_LEVELS = 16
+
+
+def _level_sql(k: int) -> str:
+    half = 1 << k
+    names = "SELECT r, n, i, w AS h FROM word" if k == 0 else f"""
+  SELECT r, n, i, md5(h || lead(h, {half // 2}) OVER (PARTITION BY r ORDER BY i)) AS h FROM f{k - 1}
+  QUALIFY i + {half} <= n AND n >= {3 * half // 2}"""
+    return f"""f{k} AS MATERIALIZED ({names}),
+s{k} AS (
+  SELECT r, min(i) AS start, d AS period, max(i) - min(i) + d + {half} AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY r, d ORDER BY i) AS island
+    FROM (SELECT r, i, lead(i) OVER (PARTITION BY r, h ORDER BY i) - i AS d FROM f{k})
+    WHERE 2 * d > {half} AND d <= {half})
+  GROUP BY r, d, island)"""
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII string: each byte is added, then shifted out in eight steps."""
+    steps = (f"flatten(list_transform(range(1, length({text}) + 1), "
+             f"lambda i: [256 + ascii(substr({text}, i, 1)), 0, 0, 0, 0, 0, 0, 0, 0]))")
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda c, x:
+    CASE WHEN x >= 256 THEN xor(c, x - 256) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384)
+    ELSE c >> 1 END))"""
+
+
+OP11_SQL = rf"""
+WITH base AS (
+  SELECT row_number() OVER () AS r, doc_id, {_crc32_sql("CAST(doc_id AS VARCHAR)")} AS crc,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+num AS (SELECT *, CAST(len(ws) AS BIGINT) AS n, crc // 10 AS g, (crc // 10) % greatest(len(ws), 1) AS a
+  FROM base),
+planted AS (
+  SELECT r, doc_id, n, CASE WHEN crc % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i:
+      ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END])
+    ELSE ws END AS ws
+  FROM num),
+word AS (SELECT r, n, unnest(range(n)) AS i, unnest(ws) AS w FROM planted),
+{",".join(_level_sql(k) for k in range(_LEVELS))},
+run AS (
+  SELECT * FROM ({" UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(_LEVELS))})
+  WHERE length >= greatest(24, 3 * period)),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM run),
+kept AS (SELECT r, string_agg(w, ' ' ORDER BY i) AS words FROM word ANTI JOIN gone USING (r, i) GROUP BY r),
+every AS (
+  SELECT r, count(*) AS n_runs,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS list
+  FROM run GROUP BY r),
+best AS (
+  SELECT * FROM run
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY length / period DESC, start, period) = 1)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(start AS BIGINT) AS start,
+  CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+  CAST(1000 * length // period AS BIGINT) AS exponent_milli,
+  sha256(coalesce(list, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
+FROM planted LEFT JOIN every USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
+"""
+
+
+@query("op11_runs", OP11_SQL)
+def op11_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of repeated words in every document, and the words left without repetitions."""
+    out = runs.collapse_runs(_with_planted_runs(table(spark, sf, "documents")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    digest = F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256)
+    best = F.col("best_run")
+    return out.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), best["start"].alias("start"),
+        best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("1000 * best_run.length div best_run.period").alias("exponent_milli"),
+        digest.alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
