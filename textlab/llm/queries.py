@@ -10,7 +10,8 @@ from checks.registry import query
 from checks.views import table
 from textlab.functions.binding import let
 from textlab.llm import (
-    bpe, collisions, extract, langid, licences, mixing, runs, simhash, substring, urls, vafile,
+    bpe, chunk_bpe, collisions, extract, langid, licences, mixing, runs, simhash, substring, urls,
+    vafile,
 )
 from textlab.llm.common import WORD
 from textlab.llm.licence_texts import EQUIVALENT, LICENCES, NOTICES
@@ -298,3 +299,13 @@ def op11_runs(spark: SparkSession, sf: str) -> DataFrame:
         best["length"].alias("length"), best["period"].alias("period"),
         F.expr("1000 * best_run.length div best_run.period").alias("exponent_milli"),
         digest.alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op12_chunk_bpe")
+def op12_chunk_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Token ids by the rank file and decoded bytes of every document, as digests."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    out = chunk_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return out.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
