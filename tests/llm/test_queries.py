@@ -10,7 +10,7 @@ OPS = sorted(n for n in entry.queries() if n.startswith("op"))
 
 def test_one_query_per_operator():
     assert [int(n[2:].split("_")[0]) for n in sorted(OPS, key=lambda n: int(n[2:].split("_")[0]))] == [
-        *range(1, 13)]
+        *range(1, 14)]
     assert "pipeline" in entry.queries()
 
 

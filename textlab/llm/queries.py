@@ -10,8 +10,8 @@ from checks.registry import query
 from checks.views import table
 from textlab.functions.binding import let
 from textlab.llm import (
-    bpe, chunk_bpe, collisions, extract, langid, licences, mixing, runs, simhash, substring, urls,
-    vafile,
+    bpe, centroids, chunk_bpe, collisions, extract, langid, licences, mixing, runs, simhash, substring,
+    urls, vafile,
 )
 from textlab.llm.common import WORD
 from textlab.llm.licence_texts import EQUIVALENT, LICENCES, NOTICES
@@ -309,3 +309,44 @@ def op12_chunk_bpe(spark: SparkSession, sf: str) -> DataFrame:
     ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
     return out.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def _round_sql(i: int) -> str:
+    """Assignment to the centroids of round i, and the centroids that follow."""
+    return f"""a{i} AS MATERIALIZED (
+  SELECT r, c, d FROM (
+    SELECT r, c, list_inner_product(v.e, v.e) - 2 * list_inner_product(v.e, c{i}.e)
+      + list_inner_product(c{i}.e, c{i}.e) AS d FROM v CROSS JOIN c{i})
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1),
+m{i} AS (
+  SELECT c, list(x ORDER BY p) AS e FROM (
+    SELECT c, p, floor(sum(x) / count(*)) AS x
+    FROM (SELECT c, unnest(e) AS x, unnest(range(64)) AS p FROM v JOIN a{i} USING (r))
+    GROUP BY c, p)
+  GROUP BY c),
+c{i + 1} AS MATERIALIZED (
+  SELECT c, coalesce(m{i}.e, c{i}.e) AS e FROM c{i} LEFT JOIN m{i} USING (c))"""
+
+
+OP13_SQL = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id,
+    list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), vec_id, e) - 1 AS c, e FROM v
+  QUALIFY c < 8),
+{",".join(_round_sql(i) for i in range(11))}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+  CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c10.e, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256
+FROM a10 JOIN c10 USING (c) JOIN v USING (r)
+"""
+
+
+@query("op13_centroids", OP13_SQL)
+def op13_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    """Cluster of every vector after ten rounds, its distance, and the sums of distances."""
+    return centroids.cluster(table(spark, sf, "embeddings").select("vec_id", "embedding"))
