@@ -11,8 +11,9 @@ from typing import Any
 class Config:
     """Settings read by the plans. Upper-case keys of a stored record map to these names.
 
-    ``lr`` applies to ``opt="SGD"``; the default optimiser needs no rate. ``drop_rate``
-    is kept in records, as scoring has no dropout.
+    With ``opt`` LBFGS MLlib's solvers fit a ``linear`` or ``mlp`` head; ``lr`` and
+    ``drop_rate`` do not apply. With AdamW or SGD a ``linear`` or ``relu`` head is trained
+    step by step, ``steps`` distributed batches per epoch (``plans.train``).
     """
 
     multi: bool = False
@@ -25,6 +26,7 @@ class Config:
     samples: int = 10
     max_epochs: int = 20
     batch_size: int = 32
+    steps: int = 1
     h_dim: int = 64
     redux: int | None = None
     lr: float = 1e-3
@@ -45,5 +47,10 @@ class Config:
     def classes(self) -> int:
         return 4 if self.multi else 2
 
+    @property
+    def first_order(self) -> bool:
+        """Whether heads are trained step by step instead of by a solver of MLlib."""
+        return self.head == "relu" or (self.head == "linear" and self.opt in ("AdamW", "SGD"))
+
     def record(self) -> dict[str, Any]:
         return {k.upper(): v for k, v in asdict(self).items()}

@@ -14,9 +14,10 @@ from pyspark.ml.linalg import Vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlab.functions.scoring import Layer, predict_binary, predict_multiclass
+from textlab.functions.scoring import Layer, predict_binary, predict_multiclass, score_head
 from textlab.operators.metrics import class_weights
 from textlab.operators.small import lookup_join
+from textlab.plans.train import TrainedHead
 
 FEATURES, WEIGHT = "_features", "_weight"
 
@@ -91,9 +92,14 @@ def fit_mlp(
 
 
 def score(
-    model: Model, df: DataFrame, vector: str = "embedding", multiclass: bool = False
+    model: Model | TrainedHead, df: DataFrame, vector: str = "embedding", multiclass: bool = False
 ) -> DataFrame:
     """Adds ``logits``, the logit ``z`` (two classes) and ``pred``."""
+    if isinstance(model, TrainedHead):
+        scored = df.withColumn("logits", score_head(vector, model.layers))
+        if multiclass:
+            return scored.withColumn("pred", predict_multiclass("logits"))
+        return scored.withColumn("z", F.get("logits", F.lit(0))).withColumn("pred", predict_binary("z"))
     plain = model.copy({
         model.getParam("rawPredictionCol"): "_raw", model.getParam("probabilityCol"): "",
         model.getParam("predictionCol"): "",

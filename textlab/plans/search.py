@@ -7,19 +7,26 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.ml import Model
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlab.operators.embed import EncoderFactory
-from textlab.operators.logs import best_per_trial, best_trial, rank_trials
+from textlab.operators.logs import (
+    best_per_trial,
+    best_trial,
+    rank_trials,
+    rung_levels,
+    rung_survivors,
+)
 from textlab.operators.sampling import SEARCH_SPACE, sample_space
 from textlab.operators.small import rows_if_small
-from textlab.operators.split import exact_split
+from textlab.operators.split import VALIDATION, exact_split
 from textlab.plans.config import Config
 from textlab.plans.crossval import CrossValidation, cross_validate, in_parallel, refit
 from textlab.plans.evaluate import embed_labelled, evaluate
 from textlab.plans.fit import score
 from textlab.plans.session import Session, run_session
+from textlab.plans.train import Learner, Member, Table, Training, prepare, train
 from textlab.sources.sinks import write_ranked_trials, write_summary
 from textlab.sources.storage import materialize
 
@@ -61,23 +68,26 @@ def search(
     fit_fn: Callable[..., Session] = run_session,
 ) -> Search:
     """Random search: draw settings, train one session per trial on one shared exact
-    split, and table every epoch report with its settings. Failed trials are left out."""
+    split, and table every epoch report with its settings. Failed trials are left out.
+
+    Heads trained step by step (``config.first_order``) are trained side by side, one pass
+    over the table for all trials, to the last epoch; see ``search_halving`` for fewer.
+    """
     spark = df.sparkSession
-    if ids is None:
-        ids = spark.range(config.samples).select(
-            F.format_string("t%05d", F.col("id")).alias("trial")
-        )
+    ids = trial_ids(spark, config) if ids is None else ids
     drawn = draw_configs(ids, config, space)
+    if config.first_order and fit_fn is run_session:
+        done = train(_shared_split(df, config), _members(drawn), stop_early=False)
+        return _found(spark, ids, drawn, config, space, reports_of(spark, done))
     table = exact_split(df, config.split, config.seed)
     jobs = [lambda t=t, c=c: fit_fn(table, c, t) for t, c, _ in drawn]
     results = in_parallel(spark, jobs, parallelism)
 
-    reports, settings = [], []
-    for (trial, _, values), r in zip(drawn, results):
+    reports = []
+    for (trial, _, _), r in zip(drawn, results):
         if isinstance(r, Exception):
             log.warning("trial %s failed: %s", trial, r)
             continue
-        settings.append((trial, values))
         reports.append(r.epochs.select(
             F.col("run_id").alias("trial"), (F.col("epoch") + 1).alias("iteration"),
             F.col("loss").alias("l"), "f1",
@@ -85,7 +95,17 @@ def search(
     if not reports:
         raise RuntimeError("no trial completed")
     rows = [tuple(row) for part in reports for row in part.collect()]
-    log_table = spark.createDataFrame(rows, REPORT_SCHEMA)
+    return _found(spark, ids, drawn, config, space, spark.createDataFrame(rows, REPORT_SCHEMA))
+
+
+def trial_ids(spark: SparkSession, config: Config) -> DataFrame:
+    """One row per trial of the settings."""
+    return spark.range(config.samples).select(F.format_string("t%05d", F.col("id")).alias("trial"))
+
+
+def _found(
+    spark: SparkSession, ids: DataFrame, drawn: list, config: Config, space: Mapping, log_table: DataFrame
+) -> Search:
     drawn_table = sample_space(ids.select("trial"), space=space, seed=config.seed)
     named = drawn_table.toDF("trial", *[f"config/{c}" for c in drawn_table.columns[1:]])
     trials = best_per_trial(log_table).join(named, "trial")
@@ -94,6 +114,60 @@ def search(
     return Search(log_table, trials, by_trial[winner])
 
 
+def _shared_split(df: DataFrame, config: Config) -> Table:
+    """The exact split of a search as folds: 0 validates, 1 trains."""
+    split = exact_split(df, config.split, config.seed)
+    held = split.withColumn("_held", F.when(F.col("split") == VALIDATION, 0).otherwise(1))
+    return prepare(held, "_held", batches=config.steps, seed=config.seed)
+
+
+def _members(drawn: list) -> list[Member]:
+    return [Member(trial, config, 0) for trial, config, _ in drawn]
+
+
+def reports_of(spark: SparkSession, done: Training) -> DataFrame:
+    """Every epoch of every trial that has not failed."""
+    rows = [(x.member.name, epoch + 1, loss, f1)
+            for x in done.learners if not x.failed for epoch, loss, _, f1, *_ in x.log]
+    if not rows:
+        raise RuntimeError("no trial completed")
+    return spark.createDataFrame(rows, REPORT_SCHEMA)
+
+
+def search_halving(
+    df: DataFrame, config: Config, ids: DataFrame | None = None, space: Mapping = SEARCH_SPACE,
+    grace: int = 5, factor: int = 2, path: str | None = None,
+) -> Search:
+    """Search that stops the weaker trials while they are trained.
+
+    All trials are trained side by side up to the first rung; ``rung_survivors`` decides
+    which reports go on from where they stopped to the next one, and the last ones reach
+    ``max_epochs``. Settings, split and every trial's log up to its end are those of
+    ``search``. With ``path`` the state after every epoch is stored below it, and a search
+    that was cut off goes on from there.
+    """
+    spark = df.sparkSession
+    if not config.first_order:
+        raise ValueError("halving needs a head trained with AdamW or SGD")
+    ids = trial_ids(spark, config) if ids is None else ids
+    drawn = draw_configs(ids, config, space)
+    table, members = _shared_split(df, config), _members(drawn)
+    by_name: dict[str, Learner] = {}
+    done: Training | None = None
+    for rung in [*rung_levels(grace, factor, config.max_epochs), config.max_epochs]:
+        done = train(table, members, stop_early=False, until=rung, known=done,
+                     path=None if path is None else f"{path}/rung={rung}")
+        by_name |= {x.member.name: x for x in done.learners}
+        reports = reports_of(spark, Training(list(by_name.values())))
+        if rung < config.max_epochs:
+            here = reports.where(F.col("iteration") == rung)
+            kept = {r["trial"] for r in rung_survivors(
+                here, grace=rung, factor=factor, cap=rung + 1, seed=config.seed).select("trial").collect()}
+            members = [m for m in members if m.name in kept]
+            done = Training([x for x in done.learners if x.member.name in kept], done.passes)
+    return _found(spark, ids, drawn, config, space, reports)
+
+
 @dataclass(frozen=True)
 class Experiment:
     """Outcome for one encoder."""
