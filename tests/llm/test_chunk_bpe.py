@@ -14,7 +14,7 @@ from textlab.llm.queries import op12_chunk_bpe
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECES = ["'s", "'", "'ll", "'LL", "'re", "'ve", "'r", "'v", "l", "d", " '", " ", "  ", "\n", "\r\n",
           "\t", "the", " the", "été", "1", "½", "...", "<|endoftext|>", "\xa0", "　", "日本", "😀",
-          "x" * 90, "́", "\x1c", "\U0003134b", "\U0001e6c0", "՘"]
+          "x" * 90, "́", "\x1c", "\U0003134b", "\U0001e6c0", "՘", "\0", "a\0", "\x07", "abcdef\x07", "abcdefg", "abcdefgh"]
 
 
 @pytest.fixture(scope="module")
@@ -37,23 +37,37 @@ KINDS = np.frombuffer(chunk_bpe.character_kinds(), np.uint8)
                          max_size=25).map("".join), max_size=5))
 def test_as_the_library(ranks, library, texts):
     raw, cuts, _, first = chunk_bpe.split_texts(texts, KINDS)
-    ids, begin = chunk_bpe.encode_words(chunk_bpe._Memo(ranks), raw, cuts, first)
+    ids, begin = chunk_bpe.encode_words(chunk_bpe.Words(ranks), raw, cuts, first)
     for text, a, b in zip(texts, begin, begin[1:]):
         assert ids[a:b].tolist() == library.encode_ordinary(text), repr(text)
-        assert chunk_bpe.decode(ranks, ids[a:b]) == text.encode()
+    assert chunk_bpe.decode_texts(ranks, ids, begin) == [t.encode() for t in texts]
 
 
-@pytest.mark.parametrize("word", ["a" * 3000, "ab" * 2000, "=" * 5001, "日" * 700, "\x00" * 40])
+@pytest.mark.parametrize("word", ["a" * 3000, "ab" * 2000, "=" * 5001, "日" * 700, "\0" * 40, "\n" * 300])
 def test_long_words(ranks, library, word):
-    assert ranks.encode(word.encode()) == library.encode_ordinary(word)
-
-
-def test_a_full_memo_starts_anew(ranks, monkeypatch):
-    monkeypatch.setattr(chunk_bpe, "_MEMO_WORDS", 2)
-    memo = chunk_bpe._Memo(ranks)
-    for w in [b"abc", b"def", b"abc", b"xyzzy", b"abc", b"q" * 100]:
-        assert np.frombuffer(memo[w], np.int32).tolist() == ranks.encode(w)
-    assert len(memo) <= 2
+    ids, sizes = ranks.encode([b"x", word.encode(), b"\n", b"yz"])
+    want = [library.encode_ordinary(w) for w in ("x", word, "\n", "yz")]
+    assert ids.tolist() == sum(want, []) and sizes.tolist() == [len(w) for w in want]
+
+
+def test_memory_of_words_is_bounded(ranks, monkeypatch):
+    monkeypatch.setattr(chunk_bpe, "_MEMO_WORDS", 3)
+    known = chunk_bpe.Words(ranks)
+    for words in ([b"abc", b"def"], [b"abc", b"xyzzy"], [b"q" * 100, b"def", b"\n", b"a", b"b", b"c", b"d"], [b"abc"]):
+        ids, sizes = known.encode(words)
+        want, counts = ranks.encode(words)
+        assert ids.tolist() == want.tolist() and sizes.tolist() == counts.tolist()
+        assert len(known.seen) <= 3
+
+
+def test_words_whose_numbers_mix_to_the_same_stand_alone(monkeypatch):
+    words = [b"one", b"two", b"one", b"a longer word than that", b"two", b"", b"fifteen letters"]
+    cuts = np.concatenate(([0], np.cumsum([len(w) for w in words])))
+    for unique in (np.unique, lambda x, **k: (x[:1], np.zeros(1, int), np.zeros(len(x), int))):
+        monkeypatch.setattr(chunk_bpe.np, "unique", unique)
+        found, place = chunk_bpe._distinct(b"".join(words), cuts)
+        assert [found[i] for i in place] == words
+    monkeypatch.undo()
 
 
 def texts_of(rng):

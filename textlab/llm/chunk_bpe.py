@@ -6,17 +6,15 @@ does from a boundary on depends only on the text behind it, so as soon as two ne
 have a boundary in common inside their overlap, they agree from there: that place is the
 stitch, up to which the first chunk's pre-tokens count and from which the second one's do.
 A chunk that never meets its successor (a pre-token longer than the overlap) is fused with
-it and split again. The pre-tokens between two stitches are then merged by rank. Texts of
-one chunk need no stitch and are encoded where they are read.
+it and split again. The pre-tokens between two stitches are then merged by rank: the
+different ones of a piece by the tiktoken library, in one call. Texts of one chunk need no stitch and are encoded where they are read.
 
-Merges follow the rank file alone: the adjacent pair whose joined bytes have the lowest
-rank is merged first, the leftmost one on ties. Decoding concatenates the bytes of the ids.
+Decoding concatenates the bytes of the ids.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,7 +34,8 @@ STRIDE = 65_536
 OVERLAP = 512
 # How far behind its end a pre-token may depend on the text: the ending of an apostrophe.
 _LOOKAHEAD = 2
-_MEMO_WORDS, _MEMO_BYTES = 100_000, 64
+# Words remembered by a task, of at most so many bytes each.
+_MEMO_WORDS, _MEMO_BYTES = 200_000, 64
 _TOGETHER = 1 << 20
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 # The endings that belong to an apostrophe in front of them.
@@ -95,6 +94,11 @@ def begins_of_words(codes: np.ndarray, breaks: np.ndarray, kinds: np.ndarray) ->
     return begins
 
 
+def _widths(codes: np.ndarray) -> np.ndarray:
+    """Bytes of every code point in UTF-8."""
+    return 1 + (codes > 0x7F).astype(np.int8) + (codes > 0x7FF) + (codes > 0xFFFF)
+
+
 def split_texts(texts: list[str], kinds: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
     """All texts in UTF-8; where each pre-token begins in it, in bytes, and in code points
     (both with the end); and the index of each text's first pre-token (and their number)."""
@@ -106,8 +110,7 @@ def split_texts(texts: list[str], kinds: np.ndarray) -> tuple[bytes, np.ndarray,
         return b"", none, none, np.zeros(len(texts) + 1, np.int64)
     begins = begins_of_words(codes, breaks, kinds)
     points = np.append(np.flatnonzero(begins), len(codes))
-    width = 1 + (codes > 0x7F).astype(np.int8) + (codes > 0x7FF) + (codes > 0xFFFF)
-    offset = np.concatenate(([0], np.cumsum(width, dtype=np.int64)))
+    offset = np.concatenate(([0], np.cumsum(_widths(codes), dtype=np.int64)))
     return joined.encode(), offset[points], points, np.searchsorted(points, breaks)
 
 
@@ -119,36 +122,33 @@ class Ranks:
     def __init__(self, content: bytes):
         lines = (line.split() for line in content.splitlines() if line)
         self.rank = {base64.b64decode(token): int(rank) for token, rank in lines}
-        self.tokens = {rank: token for token, rank in self.rank.items()}
-
-    def encode(self, word: bytes) -> list[int]:
-        """Ids of one pre-token of any length: a heap holds the pairs that have a rank."""
-        rank = self.rank
-        if (whole := rank.get(word)) is not None:
-            return [whole]
-        n = len(word)
-        after, before = list(range(1, n + 2)), list(range(-1, n))
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank.get(word[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, end = heapq.heappop(heap)
-            middle = after[i]
-            # Parts that were merged meanwhile no longer reach from here to that end.
-            if middle < 0 or middle >= n or after[middle] != end:
-                continue
-            after[i], after[middle] = end, -1
-            if end < n:
-                before[end] = i
-                far = after[end]
-                if (r := rank.get(word[i:far])) is not None:
-                    heapq.heappush(heap, (r, i, far))
-            if (left := before[i]) >= 0 and (r := rank.get(word[left:end])) is not None:
-                heapq.heappush(heap, (r, left, end))
-        out, at = [], 0
-        while at < n:
-            out.append(rank[word[at : after[at]]])
-            at = after[at]
-        return out
+        tokens = [b""] * (max(self.rank.values()) + 1)
+        for token, rank in self.rank.items():
+            tokens[rank] = token
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
+        self.sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        # The library gets pre-tokens line by line.
+        self.library = tiktoken.Encoding(
+            "lines", pat_str=r"[^\n]+", mergeable_ranks=self.rank, special_tokens={})
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one behind the other, and how many each has. They are merged by
+        the library in one call; where a word ends follows from the size of its tokens.
+        Words with a line feed (white space) go one by one."""
+        odd = [i for i, w in enumerate(words) if b"\n" in w]
+        plain = [w for w in words if b"\n" not in w] if odd else words
+        ids = np.array(self.library.encode_ordinary(b"\n".join(plain).decode()), np.int64)
+        ends = np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)))
+        counts = np.diff(np.searchsorted(np.cumsum(self.sizes[ids]), ends, "left") + 1, prepend=0)
+        if not odd:
+            return ids, counts
+        each = [self.library._encode_single_piece(words[i]) for i in odd]
+        # Place of each odd word among the plain ones, and of its ids among theirs.
+        among = np.array(odd) - np.arange(len(odd))
+        before = np.concatenate(([0], np.cumsum(counts)))[among]
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        ids = np.insert(ids, np.repeat(before, sizes), np.concatenate(each))
+        return ids, np.insert(counts, among, sizes)
 
 
 @lru_cache(1)
@@ -156,33 +156,86 @@ def _ranks(content: bytes) -> Ranks:
     return Ranks(content)
 
 
-class _Memo(dict):
-    """Ids of recent pre-tokens, four bytes each; at most so many short ones are kept."""
+def _distinct(raw: bytes, cuts: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Words among which equal short ones are found once, and the place of every pre-token
+    among them. Words under 16 bytes are two whole numbers (the second with the size on
+    top) and are grouped by a product of both; the few whose numbers differ from those of
+    their group stand alone."""
+    size = np.diff(cuts)
+    short = np.flatnonzero(size < 16)
+    data = np.frombuffer(raw + bytes(16), np.uint8)
+    pair = np.ascontiguousarray(
+        np.lib.stride_tricks.sliding_window_view(data, 16)[cuts[:-1][short]]).view("<u8")
+    bits = 8 * size[short].astype(np.uint64)
+    low = pair[:, 0] & _ones(np.minimum(bits, np.uint64(64)))
+    high = pair[:, 1] & _ones(np.maximum(bits, np.uint64(64)) - np.uint64(64))
+    high |= bits << np.uint64(53)
+    with np.errstate(over="ignore"):
+        mixed = (low * np.uint64(0x9E3779B97F4A7C15)) ^ (high * np.uint64(0xC2B2AE3D27D4EB4F))
+    _, first, place = np.unique(mixed, return_index=True, return_inverse=True)
+    same = (low == low[first][place]) & (high == high[first][place])
+    alone = np.ones(len(size), bool)
+    alone[short[same]] = False
+    alone = np.flatnonzero(alone)
+    out = np.empty(len(size), np.int64)
+    out[short[same]] = place[same]
+    out[alone] = len(first) + np.arange(len(alone))
+    chosen = np.concatenate([short[first], alone])
+    begin, end = cuts[:-1][chosen].tolist(), cuts[1:][chosen].tolist()
+    return [raw[a:b] for a, b in zip(begin, end)], out
+
+
+def _ones(bits: np.ndarray) -> np.ndarray:
+    """Whole numbers with this many ones (0 to 64) at the low end."""
+    shift = np.uint64(64) - np.maximum(bits, np.uint64(1))
+    return np.where(bits > 0, np.uint64(2**64 - 1) >> shift, np.uint64(0))
+
+
+def _spread(values: np.ndarray, sizes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of ``values`` (one behind the other, of these sizes) in the order of
+    ``place``, and where each begins (and the end)."""
+    start = np.cumsum(sizes) - sizes
+    begin = np.concatenate(([0], np.cumsum(sizes[place])))
+    source = np.repeat(start[place] - begin[:-1], sizes[place])
+    return values[source + np.arange(begin[-1])], begin
+
+
+class Words:
+    """Ids of the words of one task: recent ones from memory (a bounded number of short
+    words), others merged."""
 
     def __init__(self, ranks: Ranks):
-        super().__init__()
         self.ranks = ranks
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.ranks.encode(word), np.int32).tobytes()
-        if len(word) <= _MEMO_BYTES:
-            if len(self) >= _MEMO_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
-def encode_words(memo: _Memo, raw: bytes, cuts: np.ndarray, first: np.ndarray):
+        self.seen: dict[bytes, bytes] = {}  # four bytes an id
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        each = list(map(self.seen.get, words))
+        new = [i for i, ids in enumerate(each) if ids is None]
+        if new:
+            ids, counts = self.ranks.encode([words[i] for i in new])
+            flat, ends = ids.astype(np.int32).tobytes(), (4 * np.cumsum(counts)).tolist()
+            for i, a, b in zip(new, [0, *ends], ends):
+                each[i] = flat[a:b]
+            if len(self.seen) + len(new) > _MEMO_WORDS:
+                self.seen.clear()
+            self.seen.update((words[i], each[i]) for i in new[:_MEMO_WORDS] if len(words[i]) <= _MEMO_BYTES)
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        return np.frombuffer(b"".join(each), np.int32), sizes
+
+
+def encode_words(known: Words, raw: bytes, cuts: np.ndarray, first: np.ndarray):
     """Ids of the pre-tokens that ``cuts`` marks in ``raw``, and where those of each text,
     given by the index of its first pre-token, begin (and the end)."""
-    at = cuts.tolist()
-    each = [memo[raw[a:b]] for a, b in zip(at, at[1:])]
-    count = np.concatenate(([0], np.cumsum(np.fromiter(map(len, each), np.int64, len(each))))) // 4
-    return np.frombuffer(b"".join(each), np.int32), count[first]
+    words, place = _distinct(raw, cuts)
+    ids, begin = _spread(*known.encode(words), place)
+    return ids, begin[first]
 
 
-def decode(ranks: Ranks, ids: np.ndarray) -> bytes:
-    return b"".join(map(ranks.tokens.__getitem__, ids.tolist()))
+def decode_texts(ranks: Ranks, ids: np.ndarray, begin: np.ndarray) -> list[bytes]:
+    """Bytes of the ids of each text, concatenated."""
+    data, at = _spread(ranks.data, ranks.sizes, ids)
+    raw, cuts = data.tobytes(), at[begin].tolist()
+    return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 # -- tables -----------------------------------------------------------------
@@ -213,12 +266,12 @@ def encode_documents(
 def _encode_short(docs: DataFrame, text: str, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, kinds = _ranks(shared.value[0]), np.frombuffer(shared.value[1], np.uint8)
-        memo = _Memo(ranks)
+        known = Words(ranks)
         for batch in batches:
             for part in _slices(batch, text):
                 raw, cuts, _, first = split_texts([t or "" for t in part[text].to_pylist()], kinds)
-                ids, begin = encode_words(memo, raw, cuts, first)
-                decoded = pa.array([decode(ranks, ids[a:b]) for a, b in zip(begin, begin[1:])], pa.binary())
+                ids, begin = encode_words(known, raw, cuts, first)
+                decoded = pa.array(decode_texts(ranks, ids, begin), pa.binary())
                 new = [pa.array(np.diff(begin)), pa.ListArray.from_arrays(begin.astype(np.int32), ids), decoded]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, *new], names=[*part.schema.names, *(f.name for f in NEW)])
@@ -330,24 +383,29 @@ def _encode_chunks(stitched: DataFrame, shared) -> DataFrame:
     """``key, chunk, ids, decoded`` of the pre-tokens of each chunk that count."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = _ranks(shared.value[0])
-        memo = _Memo(ranks)
+        known = Words(ranks)
         for batch in batches:
             for row in batch.to_pylist():
                 points = row["start"] + np.concatenate(([0], np.cumsum(row["sizes"], dtype=np.int64)))
                 points = points[(points >= row["low"]) & (points <= row["high"])] - row["start"]
-                body = row["body"]
-                at = points.tolist()
-                ids = b"".join([memo[body[a:b].encode()] for a, b in zip(at, at[1:])])
-                ids = np.frombuffer(ids, np.int32)
+                counted = row["body"][points[0] : points[-1]]
+                raw, cuts = _bytes_at(counted, points - points[0])
+                ids, begin = encode_words(known, raw, cuts, np.array([0, len(points) - 1]))
                 yield pa.RecordBatch.from_arrays([
                     pa.array([row["key"]]), pa.array([row["chunk"]], pa.int32()),
-                    pa.array([ids.tolist()], pa.list_(pa.int32())), pa.array([decode(ranks, ids)], pa.binary()),
+                    pa.array([ids.tolist()], pa.list_(pa.int32())), pa.array(decode_texts(ranks, ids, begin), pa.binary()),
                 ], names=["key", "chunk", "ids", "decoded"])
 
     return stitched.select("key", "chunk", "start", "low", "high", "body", "sizes").mapInArrow(
         run, "key long, chunk int, ids array<int>, decoded binary")
 
 
+def _bytes_at(text: str, points: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """A text in UTF-8 and places in it, given in code points, in bytes."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return text.encode(), np.concatenate(([0], np.cumsum(_widths(codes), dtype=np.int64)))[points]
+
+
 def _gather(rows: DataFrame, parts: DataFrame, columns: list[str]) -> DataFrame:
     """One row per text again, its parts in order."""
     whole = parts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids", "decoded"))).alias("p"))
