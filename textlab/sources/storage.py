@@ -36,6 +36,18 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(target)
 
 
+def write_file(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a small file from the driver to any file system that Spark knows."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, False)
+    try:
+        for at in range(0, len(data), 1 << 20):
+            out.write(bytearray(data[at : at + (1 << 20)]))
+    finally:
+        out.close()
+
+
 def store_with_row_id(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Give rows without a key a ``row_id`` and store them with it. The id depends on the
     file layout, so it is drawn once and read back from then on."""
