@@ -1,38 +1,51 @@
 """Exact top-k inner products by vector-approximation files.
 
 Every dimension is cut into cells at quantiles of all vectors; a vector's approximation is
-one byte per dimension. A block of approximations is scanned first: the bounds of the cells
-give a lower and an upper bound of every score. Exact vectors are then read best upper
-bound first, until the k-th exact score is above every bound that is left. The result is
-exact whatever the cells.
-
-Candidates are packed into blocks of rows, queries into blocks of a fixed size, and each
-pair of blocks is one small unit of work that returns k rows per query; a ranking over
-those rows gives the result. Nothing is broadcast but the cell bounds (dimensions x cells).
+one byte per dimension. The approximations are stored once, packed into blocks. A search
+scans these alone: the bounds of the cells give a lower and an upper bound of every score,
+and per query the k-th highest lower bound over all blocks rules out every row whose upper
+bound is below it. Only what is left is read exactly, joined by row number, and scored in
+whole numbers. The result is exact whatever the cells.
+
+Queries are packed into blocks as well; a block of approximations and one of queries meet
+as one small unit of work. Rows are told apart by a stored number, not by their id.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textlab.llm.common import bounded_batches, tidy
+from textlab.operators.small import lookup_join
 from textlab.sources.storage import materialize
 
 CELLS = 64
 SCALE = 256
 BLOCK_ROWS = 4096
 QUERY_ROWS = 1024
-# Chunk of exact vectors read at a time per query.
-_READ = 64
-# Scaled components below this keep the scores of up to 2**11 dimensions inside a long.
-LIMIT = float(1 << 26)
+# Components of this size (no float has it) count as infinite: scaled they leave the doubles.
+LIMIT = 1e300
+# Cell bounds of at most so many vector lengths are shipped to every task.
+_FEW_SIZES = 100
+# Queries whose bounds are worked out together.
+_TOGETHER = 128
 
 
 def scaled(vector: Column, scale: int = SCALE) -> Column:
-    """Floor of ``scale`` times each component as longs, the component as double."""
-    return F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
+    """Floor of ``scale`` times each component, as doubles: they hold these whole numbers
+    exactly. The product with a power of two is exact as well."""
+    def one(x: Column) -> Column:
+        y = x.cast("double") * F.lit(float(scale))
+        # Doubles from 2**52 on are whole; the floor is a long.
+        return F.when(F.abs(y) < float(1 << 52), F.floor(y).cast("double")).otherwise(y)
+
+    return F.transform(vector, one)
 
 
 def usable(vector: Column) -> Column:
@@ -41,74 +54,186 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & ~bad, F.lit(False))
 
 
-def cell_bounds(vectors: DataFrame, cells: int = CELLS) -> pd.DataFrame:
-    """Per length of vector and dimension the cell bounds: minimum, quantiles, maximum + 1
-    of the scaled components of all vectors. One aggregate; dimensions x cells values."""
-    each = vectors.select("size", F.posexplode("ints").alias("dim", "x"))
+def cell_bounds(rows: DataFrame, cells: int = CELLS) -> DataFrame:
+    """``size, edges``: per length of vector and dimension the cell bounds, that is minimum,
+    quantiles, and a number above the maximum of the scaled components of all vectors."""
+    each = rows.select("size", F.posexplode("ints").alias("dim", "x"))
     steps = [i / cells for i in range(1, cells)]
-    return each.groupBy("size", "dim").agg(
+    bounds = each.groupBy("size", "dim").agg(
         F.min("x").alias("low"), F.max("x").alias("high"),
-        F.percentile_approx("x", steps, 2000).alias("cuts")).toPandas()
+        F.percentile_approx("x", steps, 2000).alias("cuts"))
+    inner = F.filter(F.array_distinct("cuts"), lambda c: c > F.col("low"))
+    edges = F.concat(F.array("low"), F.array_sort(inner), F.array(F.col("high") + 1.0))
+    return bounds.select("size", "dim", edges.alias("edges")).groupBy("size").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("dim", "edges"))), lambda s: s["edges"]).alias("edges"))
 
 
-def _edges(bounds: pd.DataFrame) -> dict[int, list[np.ndarray]]:
-    out: dict[int, list[np.ndarray]] = {}
-    for r in bounds.sort_values(["size", "dim"]).itertuples():
-        inner = np.unique(np.array([c for c in r.cuts if r.low < c <= r.high], np.int64))
-        out.setdefault(r.size, []).append(np.concatenate(([r.low], inner, [r.high + 1])))
-    return out
+# -- blocks -----------------------------------------------------------------
+
+_BLOCK = "size int, block long, numbers binary, vectors binary"
+
+
+def _packed(rows: DataFrame, per_block: int) -> DataFrame:
+    """Rows of one length per block, in the order in which a task meets them."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, made, held = TaskContext.get().partitionId() << 32, 0, {}
+
+        def block(size: int) -> pa.RecordBatch:
+            nonlocal made
+            numbers, vectors = held.pop(size)
+            made += 1
+            return pa.RecordBatch.from_pydict({
+                "size": pa.array([size], pa.int32()), "block": pa.array([base + made], pa.int64()),
+                "numbers": pa.array([np.array(numbers, "<i8").tobytes()], pa.binary()),
+                "vectors": pa.array([np.array(vectors, "<f8").tobytes()], pa.binary())})
 
+        for batch in batches:
+            for number, size, ints in zip(*(batch[c].to_pylist() for c in ("number", "size", "ints"))):
+                numbers, vectors = held.setdefault(size, ([], []))
+                numbers.append(number)
+                vectors.append(ints)
+                # Few blocks are open at a time, however many lengths there are.
+                if len(numbers) >= per_block or len(held) > _FEW_SIZES:
+                    yield block(size)
+        for size in list(held):
+            yield block(size)
 
-def approximate(ints: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    return rows.select("number", "size", "ints").mapInArrow(pack, _BLOCK)
+
+
+def approximate(vectors: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     """Cell of every component, one byte each."""
-    out = np.empty(ints.shape, np.uint8)
+    out = np.empty(vectors.shape, np.uint8)
     for d, e in enumerate(edges):
-        out[:, d] = np.searchsorted(e, ints[:, d], "right") - 1
+        out[:, d] = np.searchsorted(e, vectors[:, d], "right") - 1
+        # Above the last edge only if 1 is lost on a large maximum.
+        np.minimum(out[:, d], len(e) - 2, out=out[:, d])
     return out
 
 
+def _approximated(blocks: DataFrame, edges: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                v = np.frombuffer(row["vectors"], "<f8").reshape(-1, row["size"] or 1)
+                cells = approximate(v, _arrays(row["edges"])).tobytes()
+                yield pa.RecordBatch.from_pydict({
+                    "size": pa.array([row["size"]], pa.int32()), "block": pa.array([row["block"]], pa.int64()),
+                    "numbers": pa.array([row["numbers"]], pa.binary()), "cells": pa.array([cells], pa.binary())})
+
+    return lookup_join(blocks, edges, "size", "left", _FEW_SIZES).mapInArrow(
+        tidy(run), "size int, block long, numbers binary, cells binary")
+
+
+def _arrays(edges: list | None) -> list[np.ndarray]:
+    return [np.array(e) for e in edges or []]
+
+
+# -- bounds -----------------------------------------------------------------
+
 def score_bounds(cells: np.ndarray, queries: np.ndarray, edges: list[np.ndarray]):
-    """Lower and upper bounds of the scores: (queries, rows)."""
+    """Lower and upper bounds of the scores: (queries, rows). They give way by more than
+    the rounding of doubles can be wrong."""
+    if not edges:
+        zero = np.zeros((len(queries), len(cells)))
+        return zero, zero
     width = max(len(e) for e in edges)
-    low = np.zeros((len(edges), width))
-    high = np.zeros((len(edges), width))
+    low, high = np.zeros((len(edges), width)), np.zeros((len(edges), width))
     for d, e in enumerate(edges):
-        low[d, : len(e) - 1], high[d, : len(e) - 1] = e[:-1], e[1:] - 1
+        low[d, : len(e) - 1], high[d, : len(e) - 1] = e[:-1], e[1:]
     at = np.arange(len(edges))
     lows, highs = low[at, cells], high[at, cells]
-    plus, minus = np.maximum(queries, 0).astype(float), np.minimum(queries, 0).astype(float)
-    return plus @ lows.T + minus @ highs.T, plus @ highs.T + minus @ lows.T
-
-
-def block_top(
-    ids: np.ndarray, ints: np.ndarray, cells: np.ndarray, query_ids: np.ndarray,
-    queries: np.ndarray, edges: list[np.ndarray], k: int,
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best k rows of a block for each query: query ids, vector ids, scores."""
-    lower, upper = score_bounds(cells, queries, edges)
-    # Rounding of doubles: the bounds give way by far more than they can be wrong.
-    slack = 1.0 + np.abs(upper).max(initial=0.0) * 1e-9
-    out_q, out_v, out_s = [], [], []
-    for i, q in enumerate(query_ids.tolist()):
-        # The k-th best lower bound rules out all rows whose upper bound is below it; a
-        # query's own row does not count, so one more is looked at.
-        n = min(k + 1, len(ids))
-        floor = np.partition(lower[i], len(ids) - n)[len(ids) - n] - slack
-        maybe = np.flatnonzero((upper[i] >= floor) & (ids != q))
-        maybe = maybe[np.argsort(-upper[i, maybe], kind="stable")]
-        best_s, best_v = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for at in range(0, len(maybe), _READ):
-            if len(best_s) >= k and upper[i, maybe[at]] + slack < best_s[k - 1]:
-                break
-            rows = maybe[at : at + _READ]
-            s = np.concatenate([best_s, ints[rows] @ queries[i]])
-            v = np.concatenate([best_v, ids[rows]])
-            order = np.lexsort((v, -s))[:k]
-            best_s, best_v = s[order], v[order]
-        out_q.append(np.full(len(best_v), q, np.int64))
-        out_v.append(best_v)
-        out_s.append(best_s)
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_q, out_v, out_s))
+    plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
+    lower, upper = plus @ lows.T + minus @ highs.T, plus @ highs.T + minus @ lows.T
+    size = np.abs(queries) @ np.maximum(np.abs(low), np.abs(high)).max(axis=1)
+    slack = (1.0 + size * 1e-9)[:, None]
+    return lower - slack, upper + slack
+
+
+def survivors(
+    numbers: np.ndarray, cells: np.ndarray, query_numbers: np.ndarray, queries: np.ndarray,
+    edges: list[np.ndarray], k: int,
+) -> Iterator[tuple[np.ndarray, ...]]:
+    """Per some queries ``query, row, lower, upper`` of the rows of a block that may be among
+    the best k: those whose upper bound is not below the k-th highest lower bound here."""
+    for at in range(0, len(queries), _TOGETHER):
+        asks = query_numbers[at : at + _TOGETHER]
+        with np.errstate(over="ignore", invalid="ignore"):
+            lower, upper = score_bounds(cells, queries[at : at + _TOGETHER], edges)
+        # Bounds that left the doubles rule nothing out.
+        lower[~np.isfinite(lower)], upper[~np.isfinite(upper)] = -np.inf, np.inf
+        own = asks[:, None] == numbers[None, :]
+        lower[own], upper[own] = -np.inf, -np.inf
+        floor = np.full(len(asks), -np.inf)
+        if len(numbers) > k:
+            floor = np.partition(lower, len(numbers) - k, axis=1)[:, len(numbers) - k]
+        q, r = np.nonzero((upper >= floor[:, None]) & ~own)
+        yield asks[q], numbers[r], lower[q, r], upper[q, r]
+
+
+def _scan(approximations: DataFrame, asked: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+    """Every block of approximations with every block of queries of its length."""
+    counts = asked.groupBy("size").agg(F.count(F.lit(1)).alias("n_asked"))
+    blocks = approximations.groupBy("size").agg(F.count(F.lit(1)).alias("n_blocks"))
+
+    def numbered(df: DataFrame) -> DataFrame:
+        """Blocks of a length counted through by their order."""
+        at = Window.partitionBy("size").orderBy("block")
+        place = df.select("size", "block").withColumn("place", F.row_number().over(at) - 1)
+        return df.join(place, ["size", "block"])
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
+
+    left = lookup_join(numbered(approximations), counts, "size", limit=_FEW_SIZES).select(
+        "size", "numbers", "cells", F.col("place").alias("b"), every("n_asked").alias("q"))
+    right = lookup_join(numbered(asked), blocks, "size", limit=_FEW_SIZES).select(
+        "size", F.col("numbers").alias("asks"), "vectors", F.col("place").alias("q"), every("n_blocks").alias("b"))
+    pairs = lookup_join(left.join(right, ["size", "b", "q"]), edges, "size", "left", _FEW_SIZES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                d = row["size"]
+                numbers, asks = np.frombuffer(row["numbers"], "<i8"), np.frombuffer(row["asks"], "<i8")
+                cells = np.frombuffer(row["cells"], np.uint8).reshape(len(numbers), d)
+                queries = np.frombuffer(row["vectors"], "<f8").reshape(len(asks), d)
+                for found in survivors(numbers, cells, asks, queries, _arrays(row["edges"]), k):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x) for x in found], names=["query", "number", "lower", "upper"])
+
+    return pairs.select("size", "numbers", "cells", "asks", "vectors", "edges").mapInArrow(
+        tidy(run), "query long, number long, lower double, upper double")
+
+
+# -- exact scores -----------------------------------------------------------
+
+def _order_key(score: int) -> bytes:
+    """Bytes that sort like the numbers, whatever their size."""
+    digits = abs(score).to_bytes((abs(score).bit_length() + 7) // 8, "big")
+    body = len(digits).to_bytes(2, "big") + digits
+    return b"\x01" + body if score >= 0 else b"\x00" + bytes(255 - b for b in body)
+
+
+def _scores(pairs: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = []
+            for a, b in zip(batch["asks"].to_pylist(), batch["ints"].to_pylist()):
+                x, y = np.array(a), np.array(b)
+                # Sums of whole numbers are exact in doubles below 2**53.
+                if float(np.abs(x) @ np.abs(y)) < 1 << 52:
+                    scores.append(int(x @ y))
+                else:
+                    scores.append(sum(int(u) * int(v) for u, v in zip(a, b)))
+            yield pa.RecordBatch.from_arrays([
+                batch["query"], batch["query_id"], batch["vec_id"],
+                pa.array([s if -(1 << 63) <= s < 1 << 63 else None for s in scores], pa.int64()),
+                pa.array([_order_key(s) for s in scores], pa.binary()),
+            ], names=["query", "query_id", "vec_id", "score", "key"])
+
+    return pairs.select("query", "query_id", "vec_id", "asks", "ints").mapInArrow(
+        run, "query long, query_id long, vec_id long, score long, key binary")
 
 
 def top_k(
@@ -118,54 +243,33 @@ def top_k(
     """``query_id, rank, vec_id, score``: for each row of ``vectors`` that meets the
     condition ``queries``, the ``k`` other rows with the highest integer inner product.
 
-    Scores are inner products of the components scaled by 256 and rounded down. Ties go to
-    the smaller id; fewer than k other rows give fewer results. Null vectors and those with
-    null or non-finite components take no part, nor do rows without an id; vectors meet
-    only those of the same length. Rows with a component of 2**18 or more take no part:
-    their scores need not fit a long. Repeated ids: a query meets rows of other ids only, a
-    repeated row counts as often as it occurs, and of a repeated query id one row is used.
+    Scores are inner products of the components scaled by 256 and rounded down, exact at any
+    size; one that does not fit a long is null, its rank right all the same. Ties go to the
+    smaller id; fewer than k other rows give fewer results. Null vectors and those with null
+    or non-finite components take no part, nor do rows without an id; vectors meet only
+    those of the same length (empty ones too: their scores are 0). Repeated ids: every row
+    asks for itself, and all rows but itself answer.
     """
-    rows = vectors.where(usable(F.col(embedding)) & F.col(vec_id).isNotNull()).select(
-        F.col(vec_id).cast("bigint").alias("vec_id"), queries.alias("is_query"),
+    bounded_batches(vectors.sparkSession)
+    finite = F.forall(embedding, lambda x: F.abs(x.cast("double")) < LIMIT)
+    rows = vectors.where(usable(F.col(embedding)) & F.col(vec_id).isNotNull()).where(finite).select(
+        F.monotonically_increasing_id().alias("number"), F.col(vec_id).cast("bigint").alias("vec_id"),
+        F.coalesce(queries, F.lit(False)).alias("is_query"),
         scaled(F.col(embedding)).alias("ints"), F.size(embedding).alias("size"))
-    rows = materialize(rows.where("size > 0 AND forall(ints, x -> abs(x) < %d)" % LIMIT), "va_rows")
-    edges = _edges(cell_bounds(rows))
-    counts = rows.groupBy("size").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("is_query").alias("n_queries")).collect()
-
-    def blocks_of(n: int, per: int) -> int:
-        return max(1, -(-n // per))
-
-    sizes = [(r["size"], blocks_of(r["n"], block_rows), blocks_of(r["n_queries"], query_rows))
-             for r in counts if r["n_queries"]]
-    spark = vectors.sparkSession
-    if not sizes:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    plan = F.broadcast(spark.createDataFrame(sizes, "size int, n_blocks long, n_query_blocks int"))
-    keyed = rows.join(plan, "size")  # one row per length of vector
-    spread = F.xxhash64(F.lit(3), "vec_id")
-    data = keyed.select(
-        "size", F.pmod(spread, "n_blocks").alias("block"), "vec_id", "ints",
-        F.explode(F.sequence(F.lit(0), F.col("n_query_blocks") - 1)).alias("query_block"),
-        F.lit(False).alias("asks"))
-    asked = keyed.where("is_query").dropDuplicates(["vec_id"]).select(
-        "size", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)).alias("block"),
-        "vec_id", "ints", F.pmod(spread, "n_query_blocks").cast("int").alias("query_block"),
-        F.lit(True).alias("asks"))
-
-    def search(frames: pd.DataFrame) -> pd.DataFrame:
-        size = int(frames["size"].iloc[0])
-        asks = frames["asks"].to_numpy(bool)
-        if asks.all() or not asks.any():
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
-        ints = np.stack(frames["ints"].to_numpy()).astype(np.int64)
-        ids = frames["vec_id"].to_numpy(np.int64)
-        cells = approximate(ints[~asks], edges[size])
-        q, v, s = block_top(ids[~asks], ints[~asks], cells, ids[asks], ints[asks], edges[size], k)
-        return pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
-
-    found = data.unionByName(asked).groupBy("size", "block", "query_block").applyInPandas(
-        search, "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
+    rows = materialize(rows, "va_rows")
+    edges = materialize(cell_bounds(rows), "va_edges")
+    approximations = materialize(_approximated(_packed(rows, block_rows), edges), "va_cells")
+    asked = materialize(_packed(rows.where("is_query"), query_rows), "va_queries")
+    found = materialize(_scan(approximations, asked, edges, k), "va_survivors")
+    # The k-th highest lower bound of a query over all blocks.
+    best = Window.partitionBy("query").orderBy(F.desc("lower"))
+    floor = found.select("query", "lower").withColumn("at", F.row_number().over(best)).where(
+        F.col("at") <= k).groupBy("query").agg(F.min("lower").alias("least"), F.count(F.lit(1)).alias("n"))
+    floor = floor.select("query", F.when(F.col("n") < k, float("-inf")).otherwise(F.col("least")).alias("least"))
+    left = found.join(floor, "query").where("upper >= least").select("query", "number")
+    asks = rows.where("is_query").select(
+        F.col("number").alias("query"), F.col("vec_id").alias("query_id"), F.col("ints").alias("asks"))
+    pairs = left.join(rows.select("number", "vec_id", "ints"), "number").join(asks, "query")
+    w = Window.partitionBy("query").orderBy(F.desc("key"), "vec_id")
+    return _scores(pairs).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")
