@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlab.operators.embed import EncoderFactory
+from textlab.operators.guided import propose
 from textlab.operators.logs import (
     best_per_trial,
     best_trial,
@@ -46,17 +47,14 @@ class Search:
         return rank_trials(self.trials, order=order, k=k)
 
 
-def draw_configs(
-    ids: DataFrame, config: Config, space: Mapping = SEARCH_SPACE, seed: int | None = None
-) -> list[tuple[str, Config, dict]]:
-    """Settings per trial id. Each trial is a set of Spark jobs submitted by the driver,
-    so the number of trials is small by nature and checked."""
-    seed = config.seed if seed is None else seed
-    rows = rows_if_small(sample_space(ids.select("trial"), space=space, seed=seed).orderBy("trial"))
+def draw_configs(draws: DataFrame, config: Config) -> list[tuple[str, Config, dict]]:
+    """Settings per row of drawn parameters. Each trial is trained by jobs that the driver
+    submits, so the number of trials is small by nature and checked."""
+    rows = rows_if_small(draws.orderBy("trial"))
     if rows is None:
         raise ValueError("too many trials for one driver")
-    drawn = [(r["trial"], {k: v for k, v in r.asDict().items() if k != "trial"}) for r in rows]
-    return [(t, Config.of(config.record() | d), d) for t, d in drawn]
+    values = [(r["trial"], {k: v for k, v in r.asDict().items() if k != "trial"}) for r in rows]
+    return [(t, Config.of(config.record() | d), d) for t, d in values]
 
 
 def search(
@@ -75,10 +73,11 @@ def search(
     """
     spark = df.sparkSession
     ids = trial_ids(spark, config) if ids is None else ids
-    drawn = draw_configs(ids, config, space)
+    draws = sample_space(ids.select("trial"), space=space, seed=config.seed)
+    drawn = draw_configs(draws, config)
     if config.first_order and fit_fn is run_session:
         done = train(_shared_split(df, config), _members(drawn), stop_early=False)
-        return _found(spark, ids, drawn, config, space, reports_of(spark, done))
+        return _found(draws, drawn, reports_of(spark, done))
     table = exact_split(df, config.split, config.seed)
     jobs = [lambda t=t, c=c: fit_fn(table, c, t) for t, c, _ in drawn]
     results = in_parallel(spark, jobs, parallelism)
@@ -95,7 +94,7 @@ def search(
     if not reports:
         raise RuntimeError("no trial completed")
     rows = [tuple(row) for part in reports for row in part.collect()]
-    return _found(spark, ids, drawn, config, space, spark.createDataFrame(rows, REPORT_SCHEMA))
+    return _found(draws, drawn, spark.createDataFrame(rows, REPORT_SCHEMA))
 
 
 def trial_ids(spark: SparkSession, config: Config) -> DataFrame:
@@ -103,15 +102,12 @@ def trial_ids(spark: SparkSession, config: Config) -> DataFrame:
     return spark.range(config.samples).select(F.format_string("t%05d", F.col("id")).alias("trial"))
 
 
-def _found(
-    spark: SparkSession, ids: DataFrame, drawn: list, config: Config, space: Mapping, log_table: DataFrame
-) -> Search:
-    drawn_table = sample_space(ids.select("trial"), space=space, seed=config.seed)
-    named = drawn_table.toDF("trial", *[f"config/{c}" for c in drawn_table.columns[1:]])
-    trials = best_per_trial(log_table).join(named, "trial")
+def _found(draws: DataFrame, drawn: list, reports: DataFrame) -> Search:
+    named = draws.toDF("trial", *[f"config/{c}" for c in draws.columns[1:]])
+    trials = best_per_trial(reports).join(named, "trial")
     winner = best_trial(trials).first()["trial"]
     by_trial = {t: c for t, c, _ in drawn}
-    return Search(log_table, trials, by_trial[winner])
+    return Search(reports, trials, by_trial[winner])
 
 
 def _shared_split(df: DataFrame, config: Config) -> Table:
@@ -150,7 +146,8 @@ def search_halving(
     if not config.first_order:
         raise ValueError("halving needs a head trained with AdamW or SGD")
     ids = trial_ids(spark, config) if ids is None else ids
-    drawn = draw_configs(ids, config, space)
+    draws = sample_space(ids.select("trial"), space=space, seed=config.seed)
+    drawn = draw_configs(draws, config)
     table, members = _shared_split(df, config), _members(drawn)
     by_name: dict[str, Learner] = {}
     done: Training | None = None
@@ -165,7 +162,43 @@ def search_halving(
                 here, grace=rung, factor=factor, cap=rung + 1, seed=config.seed).select("trial").collect()}
             members = [m for m in members if m.name in kept]
             done = Training([x for x in done.learners if x.member.name in kept], done.passes)
-    return _found(spark, ids, drawn, config, space, reports)
+    return _found(draws, drawn, reports)
+
+
+def search_guided(
+    df: DataFrame, config: Config, space: Mapping = SEARCH_SPACE, batch: int = 4,
+) -> Search:
+    """Search in batches of trials: the first one is drawn at random, each later one follows
+    the scores so far (``operators.guided.propose``). The trials of a batch are trained side
+    by side on one shared exact split, ``config.samples`` trials in all."""
+    if not config.first_order:
+        raise ValueError("a guided search needs a head trained with AdamW or SGD")
+    if batch < 1:
+        raise ValueError("a batch needs at least one trial")
+    spark = df.sparkSession
+    ids = trial_ids(spark, config).withColumn("n", F.substring("trial", 2, 9).cast("int"))
+    table = _shared_split(df, config)
+    draws = reports = None
+    drawn: list = []
+    for at in range(0, config.samples, batch):
+        now = ids.where((F.col("n") >= at) & (F.col("n") < at + batch)).select("trial")
+        if reports is None:
+            new = sample_space(now, space=space, seed=config.seed)
+        else:
+            seen = best_per_trial(reports).select("trial", "f1").join(draws, "trial")
+            new = propose(now, seen, space=space, seed=config.seed)
+        new = spark.createDataFrame(new.collect(), new.schema)  # one batch of trials
+        some = draw_configs(new, config)
+        done = train(table, _members(some), stop_early=False)
+        drawn += some
+        draws = new if draws is None else draws.unionByName(new)
+        found = [x for x in done.learners if not x.failed]
+        if found:
+            part = reports_of(spark, Training(found))
+            reports = part if reports is None else reports.unionByName(part)
+    if reports is None:
+        raise RuntimeError("no trial completed")
+    return _found(draws, drawn, reports)
 
 
 @dataclass(frozen=True)
