@@ -10,6 +10,7 @@ from checks.registry import query
 from textlab.functions import text as X
 from textlab.operators import explore, labelled
 from textlab.sources import delimited as D
+from textlab.sources.ranges import read_split_csv as read_split
 from textlab.sources import sinks
 from textlab.sources.storage import fresh_path
 from textlab.operators import logs, split
@@ -72,6 +73,15 @@ def read_labelled_csv(spark, sf):
     return D.read_labelled_csv(spark, path, CSV_SCHEMA)
 
 
+@query("read_split_csv", f"""WITH {V.TWEETS_CTE}
+SELECT row_id, concat('"', text, chr(10), '",', chr(10)) AS text, label FROM tweets""")
+def read_split_csv(spark, sf):
+    """Texts with quotes and line breaks in them, read by byte ranges."""
+    odd = F.concat(F.lit('"'), "text", F.lit('\n",\n'))
+    path = D.write_csv(V.tweets(spark, sf).withColumn("text", odd).coalesce(1), fresh_path(spark, "split-csv"))
+    return read_split(spark, path, CSV_SCHEMA)
+
+
 @query("read_many", f"""WITH {V.TWEETS_CTE}
 SELECT row_id, text, label FROM tweets UNION ALL
 SELECT row_id, text, CAST(NULL AS INTEGER) AS label FROM tweets""")
