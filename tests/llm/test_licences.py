@@ -7,13 +7,16 @@ from textlab.llm.licence_texts import EQUIVALENT, LICENCES, NOTICES, full_texts
 MIT = dict((k, t) for k, t in reversed(LICENCES))["MIT"]
 
 
+HOLDER = re.compile(
+    r"(?:(?![^\W_]|©).)*(?:(?i:©|all rights reserved|\(c\) *[0-9]|(?:\(c\) *)?copyright[ \t\n\x0b\f\r,:.–—-]*"
+    r"(?:©|&copy;|\(c\)|[0-9]|by\b|[\[<{]))|(?:\([cC]\) *)?Copyright[ \t\x0b\f]+"
+    r"(?!(?:Act|Disclaimer|Holder|Interest|Law|Licen[cs]e|Notice|Owner|Statement)s?\b)[A-ZÀ-ÖØ-Þ])")
+
+
 def slow_lines(text):
     out = []
     for line in re.split(r"\r\n|\n|\r", text or ""):
-        low = line.lower()
-        if re.match(r"(?:(?![^\W_]|©).)*(©|copyright\b|\(c\) *(copyright\b|\d)|all rights reserved)", low):
-            continue
-        words = re.findall(r"[^\W_]+", low)
+        words = [] if HOLDER.match(line) else re.findall(r"[^\W_]+", line.lower())
         joined = " ".join(words)
         for a, b in EQUIVALENT:
             joined = re.sub(rf"(?<![^ ]){a}(?![^ ])", b, joined)
@@ -81,6 +84,32 @@ def test_canonical_lines_by_brute_force(spark, documents):
         assert r.l == slow_lines(texts[r.doc_id])
 
 
+def test_query_and_its_sql_on_wrapped_and_whole_texts(spark, documents, parquet_dir):
+    import duckdb
+
+    from checks.compare import compare
+    from textlab.llm.queries import OP9_SQL, op9_licences
+
+    texts = [wrapped(t, w) for _, t in LICENCES for w in (62, 75)] + [t for _, t in full_texts()]
+    texts += [f"{line}\n{MIT}" for line in (
+        "Copyright Some Company, Inc.", "Copyright Holder of it", "copyright notice", "Copyright Laws apply",
+        "(c) Copyright 2020 A", "(c) list", "Copyright: 2019 B", "copyright by C", "Copyright <YEAR>", "a © b",
+        "copyright\nowner", "Non\nInfringement, sub\nlicense", "Copyright  Notices", "Copyright Übung")]
+    texts += [t for _, t in NOTICES] + [None, "", MIT, MIT]
+    documents(list(enumerate(texts))).write.parquet(f"{parquet_dir}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{parquet_dir}/documents.parquet/*.parquet'")
+    verdict = compare(spark, con, "op9_licences", op9_licences, OP9_SQL, parquet_dir)
+    assert verdict.startswith("ok"), verdict
+
+
+def test_columns_of_any_name(spark, documents):
+    docs = documents([(1, MIT)]).selectExpr("*", "1 AS _lines", "2 AS _hits", "3 AS row", "4 AS hits", "5 AS lines")
+    out = licences.scan_licences(docs)
+    assert out.columns == [*docs.columns, "digest", "licence", "notices"]
+    assert tuple(out.first())[5:10] == (1, 2, 3, 4, 5) and out.first()["licence"] == "MIT"
+
+
 def test_lists_have_distinct_digests(spark):
     for entries in (LICENCES, NOTICES):
         canonical = {}

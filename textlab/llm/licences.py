@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlab.llm.licence_texts import EQUIVALENT, LICENCES, NOTICES, full_texts
+from textlab.operators.small import MAX_SMALL_ROWS
 
 LINE_BREAK = r"\r\n|\n|\r"
-COPYRIGHT = r"^[^\p{L}\p{N}©]*(©|copyright\b|\(c\) *(copyright\b|\d)|all rights reserved)"
-# The above is the rule of the SQL form; here only a line with a holder is a copyright line:
-# a sign, a year, 'by' or a blank to fill in after the word, or a name after 'Copyright'.
+# Only a line with a holder is a copyright line: a sign, a year, 'by' or a blank to fill in
+# after the word, or a name after 'Copyright'.
 HOLDER = (r"^[^\p{L}\p{N}©]*(?:(?i:©|all rights reserved|\(c\) *\d"
           r"|(?:\(c\) *)?copyright[\s,:.–—-]*(?:©|&copy;|\(c\)|\d|by\b|[\[<{]))"
           r"|(?:\([cC]\) *)?Copyright\s+(?!(?:Act|Disclaimer|Holder|Interest|Law|Licen[cs]e|Notice|Owner"
@@ -76,28 +76,28 @@ def scan_licences(
     with that digest, else null) and ``notices``: identifiers of the known notices among
     its lines, sorted, without repeats, joined by commas (null if none).
 
-    The lists default to the built-in ones and are broadcast; they are given as Python
-    lists, so their size is that of a driver-side value. Null and empty texts have the
+    The lists default to the built-in ones and are given as Python lists; known digests are
+    broadcast if there are few of them, else the join is shuffled. Null and empty texts have the
     digest of the empty text and no licence. Rows are not matched to each other: repeated
     rows give equal results. Columns with the names of the new ones are replaced.
     """
     spark = docs.sparkSession
-    whole = known_digests(spark, [*LICENCES, *full_texts()] if licences is None else licences)
+    licences = [*LICENCES, *full_texts()] if licences is None else licences
+    whole, n_known = known_digests(spark, licences), len(licences)
     single = known_digests(spark, NOTICES if notices is None else notices)
     listed = single.collect()  # as many as the given list
     longest = max((r.n_chars for r in listed), default=0)
     table = F.create_map(*[F.lit(x) for r in listed for x in (r.digest, r.licence)])
     docs = docs.drop("digest", "licence", "notices")
-    # The canonical text travels once: lines that may be notices and the digest of all.
-    lines = canonical_lines(F.col(text))
-    cut = docs.withColumn("_lines", lines)
-    short = F.filter("_lines", lambda x: F.length(x) <= longest)
-    hashed = cut.withColumn("digest", digest(F.col("_lines"))).withColumn(
-        "_hits", F.transform(short, lambda x: F.sha2(x, 256))).drop("_lines")
-    found = hashed.join(F.broadcast(whole.drop("n_chars").where("digest <> sha2('', 256)")), "digest", "left")
+    # The row in one piece, so that no column of it can meet those added here. The canonical
+    # text travels once: lines that may be notices and the digest of all.
+    cut = docs.select(F.struct(*docs.columns).alias("row"), canonical_lines(F.col(text)).alias("lines"))
+    short = F.filter("lines", lambda x: F.length(x) <= longest)
+    hashed = cut.select("row", digest(F.col("lines")).alias("digest"),
+                        F.transform(short, lambda x: F.sha2(x, 256)).alias("hits"))
+    known = whole.drop("n_chars").where("digest <> sha2('', 256)")
+    found = hashed.join(F.broadcast(known) if n_known <= MAX_SMALL_ROWS else known, "digest", "left")
     names = F.array_sort(F.array_distinct(F.filter(
-        F.transform("_hits", lambda h: F.element_at(table, h)), lambda x: x.isNotNull())))
-    return (
-        found.withColumn("notices", F.when(F.size(names) > 0, F.array_join(names, ",")))
-        .select(*docs.columns, "digest", "licence", "notices")
-    )
+        F.transform("hits", lambda h: F.element_at(table, h)), lambda x: x.isNotNull())))
+    return found.select(
+        "row.*", "digest", "licence", F.when(F.size(names) > 0, F.array_join(names, ",")).alias("notices"))

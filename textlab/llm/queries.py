@@ -14,7 +14,7 @@ from textlab.llm import (
     urls, vafile,
 )
 from textlab.llm.common import WORD
-from textlab.llm.licence_texts import EQUIVALENT, LICENCES, NOTICES
+from textlab.llm.licence_texts import EQUIVALENT, LICENCES, NOTICES, full_texts
 
 
 @query("op7_simhash")
@@ -114,20 +114,39 @@ def op4_urls(spark: SparkSession, sf: str) -> DataFrame:
     return out.drop("url")
 
 
-def _canonical_sql(line: str) -> str:
-    kept = (f"CASE WHEN regexp_matches(lower({line}), '{licences.COPYRIGHT}') THEN '' "
-            f"ELSE lower({line}) END")
-    words = f"(' ' || regexp_replace({kept}, '{licences.NOT_A_WORD}', '  ', 'g') || ' ')"
-    for variant, standard in EQUIVALENT:
+# The rule for copyright lines without the look-ahead that this SQL lacks.
+_BEFORE = r"^[^\p{L}\p{N}©]*"
+_SIGNED = (_BEFORE + r"(?i:©|all rights reserved|\(c\) *[0-9]|(?:\(c\) *)?copyright[\s\x0B,:.–—-]*"
+           r"(?:©|&copy;|\(c\)|[0-9]|by\b|[\[<{]))")
+_NAMED = _BEFORE + r"(?:\([cC]\) *)?Copyright[\s\x0B]+"
+_NO_NAME = r"(?:Act|Disclaimer|Holder|Interest|Law|Licen[cs]e|Notice|Owner|Statement)s?\b"
+
+
+def _respelled_sql(words: str, spellings: list[tuple[str, str]]) -> str:
+    words = f"(' ' || {words} || ' ')"
+    for variant, standard in spellings:
         words = f"replace({words}, ' {licences._wide(variant)} ', ' {licences._wide(standard)} ')"
     return f"replace(trim({words}), '  ', ' ')"
 
 
+def _canonical_sql(line: str) -> str:
+    holder = (f"regexp_matches({line}, '{_SIGNED}') OR (regexp_matches({line}, '{_NAMED}\\p{{Lu}}') "
+              f"AND NOT regexp_matches({line}, '{_NAMED}{_NO_NAME}'))")
+    kept = f"CASE WHEN {holder} THEN '' ELSE lower({line}) END"
+    return _respelled_sql(f"regexp_replace({kept}, '{licences.NOT_A_WORD}', '  ', 'g')", EQUIVALENT)
+
+
+def _digest_sql(lines: str) -> str:
+    several = [x for x in EQUIVALENT if " " in x[0]]
+    words = f"replace(array_to_string({lines}, ' '), ' ', '  ')"
+    return f"sha256({_respelled_sql(words, several)})"
+
+
 def _known_sql(entries: list[tuple[str, str]]) -> str:
     rows = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in e)) for e in entries)
     return f"""
-SELECT sha256(array_to_string({_lines_sql("t")}, ' ')) AS h, min(id) AS id
-FROM (VALUES {rows}) v(id, t) GROUP BY h"""
+SELECT {_digest_sql(_lines_sql("t"))} AS h, min(id) AS id FROM (VALUES {rows}) v(id, t)
+GROUP BY h HAVING h <> sha256('')"""
 
 
 def _lines_sql(text: str) -> str:
@@ -136,14 +155,15 @@ def _lines_sql(text: str) -> str:
 
 
 OP9_SQL = f"""
-WITH whole AS ({_known_sql(LICENCES)}), single AS ({_known_sql(NOTICES)}),
-d AS (SELECT row_number() OVER () AS n, doc_id, {_lines_sql("text")} AS lines FROM documents),
+WITH whole AS MATERIALIZED ({_known_sql([*LICENCES, *full_texts()])}),
+single AS MATERIALIZED ({_known_sql(NOTICES)}),
+d AS MATERIALIZED (SELECT row_number() OVER () AS n, doc_id, {_lines_sql("text")} AS lines FROM documents),
 found AS (
   SELECT n, string_agg(DISTINCT id, ',' ORDER BY id) AS notices
-  FROM (SELECT n, sha256(unnest(lines)) AS h FROM d) JOIN single USING (h) GROUP BY n)
-SELECT doc_id, sha256(array_to_string(lines, ' ')) AS digest, whole.id AS licence, notices
-FROM d LEFT JOIN whole ON whole.h = sha256(array_to_string(lines, ' '))
-LEFT JOIN found USING (n)
+  FROM (SELECT n, sha256(unnest(lines)) AS h FROM d) JOIN single USING (h) GROUP BY n),
+hashed AS (SELECT n, doc_id, {_digest_sql("lines")} AS digest FROM d)
+SELECT doc_id, digest, whole.id AS licence, notices
+FROM hashed LEFT JOIN whole ON whole.h = digest LEFT JOIN found USING (n)
 """
 
 
