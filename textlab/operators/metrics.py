@@ -114,7 +114,11 @@ def classification_report(
 ) -> DataFrame:
     """``class, precision, recall, f1, support``: one row per class, then ``accuracy``
     (its value in the f1 column), ``macro avg`` and ``weighted avg``."""
-    classes = class_scores(df, label, pred)
+    return report_of(class_scores(df, label, pred))
+
+
+def report_of(classes: DataFrame) -> DataFrame:
+    """The classification report of a `per_class` table."""
     total = F.sum("support")
     values = ("precision", "recall", "f1")
     macro = [F.avg(v).alias(v) for v in values]
