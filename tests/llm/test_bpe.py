@@ -24,9 +24,9 @@ def coder(tmp_path_factory):
         import json
         merges = bpe.Merges(json.load(f))
     words = [b"the", b" the", b" them", b"ing", b" sing", b" \xc3\xa9t\xc3\xa9", b"12", b"\n", b" a"]
-    path = str(tmp_path_factory.mktemp("lexicon") / "words.bin")
-    bpe.build_file(words, merges, path)
-    return bpe.Coder(merges, bpe.Lexicon(path))
+    path = tmp_path_factory.mktemp("lexicon") / "words.bin"
+    path.write_bytes(bpe.lexicon_bytes(words, merges))
+    return bpe.Coder(merges, bpe.Lexicon(str(path)))
 
 
 def same(coder, library, texts):
@@ -102,3 +102,18 @@ def test_word_counts_cover_all_texts(spark, documents):
     df = documents([(i, "a b c a") for i in range(50)] + [(99, None)])
     got = {bytes(r.word): r.n for r in bpe.word_counts(df, "text").collect()}
     assert got == {b"a": 50, b" b": 50, b" c": 50, b" a": 50}
+
+
+def test_many_special_tokens_take_linear_time(coder, library):
+    text = "<|endoftext|>a" * 40_000
+    assert len(coder.encode([text])[0]) == 80_000
+    same(coder, library, ["<|endoftext|>" * 3, "x<|endoftext|><|endof", ""])
+
+
+def test_a_level_larger_than_the_lexicon_is_split(spark, documents, monkeypatch):
+    sizes = []
+    made = bpe.lexicon_bytes
+    monkeypatch.setattr(bpe, "lexicon_bytes", lambda words, m: (sizes.append(len(words)), made(words, m))[1])
+    rows = [(i, f"w{i} " * 3) for i in range(60)]
+    out = bpe.encode_documents(documents(rows), PATH, lexicon_words=20)
+    assert out.where("decoded = text").count() == 60 and sizes == [20]

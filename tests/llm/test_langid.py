@@ -1,7 +1,9 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from textlab.llm import langid
 from textlab.llm.queries import op2_langid
@@ -100,3 +102,29 @@ def test_held_out_accuracy(spark):
     assert 0.1 < len(out) / len(both) < 0.3
     assert (out["lang_pred"] == out["lang"]).mean() > 0.95
     assert got["score"].between(0, 1).all()
+
+
+def test_windows_lie_over_the_whole_text(spark):
+    texts = ["", "short", "x" * 64, "".join(chr(33 + i % 90) for i in range(5000)), "é" * 200, None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = dict(df.select("i", langid.windows_of(F.col("t"), 8).alias("w")).collect())
+    assert [len(got[i]) for i in range(6)] == [0, 1, 1, 8, 7, 0]
+    assert bytes(got[1][0]) == b"short" and all(len(w) == 64 for i in (2, 3, 4) for w in got[i])
+    raw = texts[3].encode()
+    assert raw.startswith(bytes(got[3][0])) and raw.endswith(bytes(got[3][-1]))
+
+
+def test_more_languages_than_rows(spark, documents):
+    docs = documents([(i, f"text number {i}") for i in range(900)]).withColumn(
+        "lang", F.concat(F.lit("l"), (F.col("doc_id") % 300).cast("string")))
+    model = langid.learn(docs, rows=100, rounds=1)
+    left = {f"l{i % 300}" for i in range(900) if zlib.crc32(str(i).encode()) % 5}
+    assert set(model.languages) == left
+
+
+def test_columns_of_any_name(spark, documents):
+    docs = documents([(1, "abc"), (2, None)]).selectExpr("*", "1 AS _p", "2 AS p", "3 AS letters", "4 AS row")
+    model = langid.train([b"abc", b"xyz"], ["a", "b"], rounds=1)
+    out = langid.predict_languages(docs, model)
+    assert out.columns == docs.columns + ["lang_pred", "score"]
+    assert [tuple(r)[5:9] for r in out.collect()] == [(1, 2, 3, 4)] * 2

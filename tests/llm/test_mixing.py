@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from textlab.llm import mixing
 from textlab.llm.queries import op10_mixing
@@ -97,3 +98,20 @@ def test_query(spark, tables):
     got = op10_mixing(spark, tables).toPandas()
     assert (got["taken"] <= 3 * got["size"]).all()
     assert abs(got["taken"].sum() - got["size"].sum()) <= 20
+
+
+def test_columns_of_any_name(spark, documents):
+    docs = documents([(i, f"a{i} b c " * 30, "xy"[i % 2]) for i in range(6)]).selectExpr(
+        "*", "1 AS spans", "2 AS twin", "3 AS turn", "4 AS `order`", "5 AS joined", "6 AS row")
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    assert {tuple(r)[-6:] for r in out.collect()} == {(1, 2, 3, 4, 5, 6)}
+
+
+def test_equal_rows_with_other_columns_mix_the_same_again(spark, documents):
+    rows = [(7, "a b c d e f g " * 25, "x")] * 4 + [(8, "q r " * 90, "y")]
+    docs = documents(rows).withColumn("n_chars", F.monotonically_increasing_id())
+    docs = docs.withColumnRenamed("n_chars", "mark")
+    mixes = [sorted(map(str, mixing.mixed_documents(d).collect()))
+             for d in (docs, docs.orderBy(F.desc("mark")).coalesce(1))]
+    assert mixes[0] == mixes[1]

@@ -64,3 +64,17 @@ def test_empty_table(spark, documents):
 def test_cover_is_checked(spark, documents):
     with pytest.raises(ValueError):
         substring.remove_repeats(documents([(1, "a")]), cover=(0, 1))
+
+
+def test_words_whose_running_sums_collide(spark, documents):
+    """Thue-Morse words and their complements have equal polynomial sums for every base."""
+    t = "0"
+    while len(t) < 4096:
+        t += t.translate(str.maketrans("01", "10"))
+    common = " ".join(f"w{i}" for i in range(34))
+    rows = [(1, f"{common} {t.translate(str.maketrans('01', 'ab'))}"),
+            (2, f"{common} {t.translate(str.maketrans('01', 'ba'))}")]
+    out = substring.remove_repeats(documents(rows)).collect()
+    assert [r["n_removed"] for r in out] == [0, 0]
+    out = substring.remove_repeats(documents([*rows, (3, rows[0][1])])).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in out) == [(1, 35), (2, 0), (3, 35)]

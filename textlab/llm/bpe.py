@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import tempfile
+import re
 import unicodedata
 import uuid
 from collections import Counter
@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
-from textlab.llm.common import bounded_batches
-from textlab.sources.storage import materialize
+from textlab.llm.common import bounded_batches, tidy
+from textlab.sources.storage import materialize, shared_dir, write_file
 
 LEXICON_WORDS = 65_536
 # Counts kept per task while words are counted; see `word_counts`.
@@ -314,8 +314,8 @@ def compile_lexicon(words: list[bytes]) -> dict[str, np.ndarray]:
             "classes": classes, "start": np.array([len(finals) - 1], np.int32)}
 
 
-def build_file(words: list[bytes], merges: Merges, path: str) -> None:
-    """Write the automaton of the words and their ids as one file of aligned arrays."""
+def lexicon_bytes(words: list[bytes], merges: Merges) -> bytes:
+    """The automaton of the words and their ids as the content of a file of aligned arrays."""
     words = sorted(set(words))
     parts = compile_lexicon(words)
     ids = merges.encode_many(words)
@@ -326,11 +326,9 @@ def build_file(words: list[bytes], merges: Merges, path: str) -> None:
         head[name] = (str(array.dtype), offset, len(array))
         offset += -(-array.nbytes // 64) * 64
     lead = json.dumps(head).encode()
-    with open(path, "wb") as out:
-        out.write(len(lead).to_bytes(8, "little") + lead)
-        out.write(b"\0" * (-out.tell() % 64))
-        for array in parts.values():
-            out.write(array.tobytes() + b"\0" * (-array.nbytes % 64))
+    lead = len(lead).to_bytes(8, "little") + lead
+    arrays = [array.tobytes() + b"\0" * (-array.nbytes % 64) for array in parts.values()]
+    return b"".join([lead, b"\0" * (-len(lead) % 64), *arrays])
 
 
 class Lexicon:
@@ -435,17 +433,16 @@ class Coder:
 
 
 def _cut_special(text: str, special: dict[str, int]) -> list:
-    """A text as strings and ids of special tokens, the first match from the left."""
-    out: list = []
-    while True:
-        found = [(text.find(s), -len(s), s) for s in special if s in text]
-        if not found:
-            return [*out, text] if text or not out else out
-        at, _, s = min(found)
-        if at:
-            out.append(text[:at])
-        out.append(special[s])
-        text = text[at + len(s):]
+    """A text as strings and ids of special tokens, the first match from the left, the
+    longest one there."""
+    pattern = "|".join(map(re.escape, sorted(special, key=len, reverse=True)))
+    out, at = [], 0
+    for m in re.finditer(pattern, text):
+        if m.start() > at:
+            out.append(text[at : m.start()])
+        out.append(special[m.group()])
+        at = m.end()
+    return [*out, text[at:]] if at < len(text) or not out else out
 
 
 # -- over a corpus ----------------------------------------------------------
@@ -474,7 +471,7 @@ def word_counts(texts: DataFrame, text: str, keep: int = COUNTER_WORDS) -> DataF
             words, n = zip(*top[at : at + 10_000])
             yield pa.RecordBatch.from_pydict({"word": list(words), "n": list(n)})
 
-    return texts.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(
+    return texts.select(text).mapInArrow(tidy(run), "word binary, n long").groupBy("word").agg(
         F.sum("n").alias("n"))
 
 
@@ -491,23 +488,27 @@ def lexicon_file(
     counts = materialize(
         word_counts(docs, text).where(F.length("word") <= 64).withColumn("level", level),
         "bpe_words")
-    total, least = 0, None
+    total, whole, split = 0, [], None
     for r in sorted(counts.groupBy("level").count().collect(), key=lambda r: -r["level"]):
-        total += r["count"]
-        if total > size:
+        if total + r["count"] > size:
+            split = r["level"]  # of this one the most frequent words that still fit
             break
-        least = r["level"]
-    top = [] if least is None else counts.where(F.col("level") >= least).select("word").collect()
-    name = f"lexicon-{uuid.uuid4().hex}.bin"
-    path = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), name)
-    build_file([bytes(r.word) for r in top], merges, path)
-    docs.sparkSession.sparkContext.addFile(path)
+        total += r["count"]
+        whole.append(r["level"])
+    top = counts.where(F.col("level").isin(whole)).select("word").collect()
+    if split is not None and total < size:
+        part = counts.where(F.col("level") == split).orderBy(F.desc("n"), "word")
+        top += part.limit(size - total).select("word").collect()
+    name, spark = f"lexicon-{uuid.uuid4().hex}.bin", docs.sparkSession
+    path = f"{shared_dir(spark)}/{name}"
+    write_file(spark, path, lexicon_bytes([bytes(r.word) for r in top], merges))
+    spark.sparkContext.addFile(path)
     return name
 
 
 @lru_cache(1)
-def _coder(name: str, tokenizer_json: str) -> Coder:
-    return Coder(Merges(json.loads(tokenizer_json)), Lexicon(SparkFiles.get(name)))
+def _merges(tokenizer_json: str) -> Merges:
+    return Merges(json.loads(tokenizer_json))
 
 
 ENCODED = "n_tokens long, ids array<int>, decoded string"
@@ -537,14 +538,15 @@ def encode_documents(
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(lexicon, spec.value)
+        # Recent words are remembered for one task only.
+        coder = Coder(_merges(spec.value), Lexicon(SparkFiles.get(lexicon)))
         for batch in batches:
             for part in _slices(batch, text):
                 texts = [t or "" for t in part[text].to_pylist()]
                 yield _result(part, coder, texts, digests)
 
     fields = spark.createDataFrame([], new).schema.fields
-    return docs.mapInArrow(run, type(schema)(schema.fields + fields))
+    return docs.mapInArrow(tidy(run), type(schema)(schema.fields + fields))
 
 
 def _slices(batch: pa.RecordBatch, text: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:

@@ -13,22 +13,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from textlab.llm.common import bounded_batches
+from textlab.functions.binding import let
+from textlab.llm.common import bounded_batches, give_back
+from textlab.operators.small import lookup_join
+from textlab.sources.storage import materialize
 
 UNDETERMINED = "und"
 STEPS = 64
 HIDDEN = 8
-# The training sample: at most so many labelled rows, with at most so many bytes of each.
+# The training sample: so many labelled rows, and of each so many windows of ``STEPS`` bytes
+# that lie evenly over its whole text.
 SAMPLE_ROWS = 2400
-SAMPLE_BYTES = 2048
+SAMPLE_WINDOWS = 32
 ROUNDS = 400
-MAX_LANGUAGES = 200
 BATCH = 192
-_SIDE_BY_SIDE = 4096
+_SIDE_BY_SIDE = 1024
+# Bytes of text cut into rows at a time.
+_TOGETHER = 1 << 19
 _GATES = ("update", "reset", "new")
 
 
@@ -203,59 +208,76 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def windows_of(text: Column, n: int, size: int = STEPS) -> Column:
+    """At most ``n`` windows of ``size`` bytes, evenly over the whole text; a text with less
+    than ``n`` windows is cut into them without a gap."""
+    def spread(raw: Column) -> Column:
+        rest = F.octet_length(raw) - size
+        count = F.least(F.lit(n), F.ceil(F.octet_length(raw) / size).cast("int"))
+        step = F.greatest(rest, F.lit(0)) / F.greatest(count - 1, F.lit(1))
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(
+            raw, F.floor(i * step).cast("int") + 1, F.lit(size)))
+
+    raw = F.encode(text, "UTF-8")
+    return F.when(F.octet_length(raw) > 0, let(raw, spread)).otherwise(F.array().cast("array<binary>"))
+
+
 def learn(
     docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id",
-    rows: int = SAMPLE_ROWS, n_bytes: int = SAMPLE_BYTES, **options,
+    rows: int = SAMPLE_ROWS, windows: int = SAMPLE_WINDOWS, **options,
 ) -> Model:
-    """Fit on at most ``rows`` labelled rows that are not held out, the same number of each
-    of the ``MAX_LANGUAGES`` most frequent languages where there are enough, taken by a
-    hash of the id; of a text the first ``n_bytes`` bytes are learned from. These bounds
-    hold for training alone."""
-    known = docs.where(~held_out(F.col(doc_id)) & F.col(lang).isNotNull())
-    counts = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES).collect()
-    if not counts:
+    """Fit on about ``rows`` labelled rows that are not held out, taken by a hash of the id:
+    the same number of every language where there are enough, one at least. Of a row,
+    ``windows`` windows spread over the whole text are learned from. Training alone is
+    bounded in this way."""
+    known = docs.where(~held_out(F.col(doc_id)) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"),
+        (F.pmod(F.xxhash64(F.lit(11), doc_id), F.lit(1 << 40)) / F.lit(float(1 << 40))).alias("place"))
+    counts = materialize(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    n = counts.count()
+    if not n:
         return train([], [], **options)
-    each = max(1, rows // len(counts))
+    each = max(1, rows // n)
     # Of every language the range of the hash that holds about twice the wanted rows, so
-    # that few rows reach the driver whatever the number of tasks; the limit is a bound.
-    shares = F.create_map(*[F.lit(x) for r in counts for x in (
-        r[0], min(1.0, (2 * each + 50) / r["count"]))])
-    place = F.pmod(F.xxhash64(F.lit(11), doc_id), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    near = known.where(F.col(text).isNotNull()).select(
-        F.col(lang).alias("lang"), (place / F.element_at(shares, F.col(lang))).alias("place"),
-        F.substring(text, 1, n_bytes).alias("t"))
-    taken: dict[str, int] = {}
-    picked: list[tuple[str, bytes]] = []
-    for r in near.where("place < 1").orderBy("place", "t").limit(3 * rows + 100 * len(counts)).collect():
-        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= each:
-            picked.append((r["lang"], r["t"].encode()[:n_bytes]))
-    return train([t for _, t in picked], [n for n, _ in picked], **options)
+    # that few rows are ranked whatever the size of the table.
+    share = F.least(F.lit(1.0), F.lit(2.0 * each + 50) / F.col("n"))
+    near = lookup_join(known, counts.select("lang", share.alias("share")), "lang").where("place < share")
+    first = Window.partitionBy("lang").orderBy("place", F.xxhash64("text"))
+    picked = near.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= each).select(
+        "lang", "place", F.explode(windows_of(F.col("text"), windows)).alias("w"))
+    sample = sorted((r["lang"], r["place"], bytes(r["w"])) for r in picked.collect())
+    return train([w for _, _, w in sample], [name for name, _, _ in sample], **options)
 
 
 RESULT = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
 
+def _probabilities(model: Model, raw: list[bytes]) -> np.ndarray:
+    """Distribution of every text, some texts at a time."""
+    rows, at = [np.zeros((0, len(model.languages)))], 0
+    while at < len(raw):
+        to, size = at, 0
+        while to < len(raw) and (to == at or size < _TOGETHER):
+            size += len(raw[to])
+            to += 1
+        rows.append(pooled(model, raw[at:to]))
+        at = to
+    return np.concatenate(rows)
+
+
 def predictor(model: Model):
     """A Pandas UDF from a text column to ``lang_pred, score``."""
 
     @F.pandas_udf(RESULT)
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            rows: list[np.ndarray] = []
-            raw = [(t or "").encode() for t in texts]
-            at = 0
-            while at < len(raw):  # about 1 MB at a time
-                to, size = at, 0
-                while to < len(raw) and (to == at or size < 1 << 20):
-                    size += len(raw[to])
-                    to += 1
-                rows.append(pooled(model, raw[at:to]))
-                at = to
-            p = np.concatenate(rows) if rows else np.zeros((0, len(model.languages)))
-            best = p.argmax(axis=1)
-            yield pd.DataFrame({"lang_pred": [model.languages[i] for i in best],
-                                "score": p[np.arange(len(p)), best]})
+        try:
+            for texts in batches:
+                p = _probabilities(model, [(t or "").encode() for t in texts])
+                best = p.argmax(axis=1)
+                yield pd.DataFrame({"lang_pred": [model.languages[i] for i in best],
+                                    "score": p[np.arange(len(p)), best]})
+        finally:
+            give_back()
 
     return predict
 
@@ -269,8 +291,9 @@ def predict_languages(docs: DataFrame, model: Model, text: str = "text") -> Data
     if not model.languages:
         return docs.withColumn("lang_pred", F.lit(UNDETERMINED)).withColumn("score", F.lit(0.0))
     has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    p = predictor(model)(F.coalesce(F.col(text), F.lit("")))
-    out = docs.withColumn("_p", p)
-    return out.withColumn(
-        "lang_pred", F.when(has_letter, F.col("_p.lang_pred")).otherwise(UNDETERMINED)
-    ).withColumn("score", F.when(has_letter, F.col("_p.score")).otherwise(0.0)).drop("_p")
+    # The row in one piece, so that no column of it can meet the prediction.
+    out = docs.select(F.struct(*docs.columns).alias("row"), has_letter.alias("letters"),
+                      predictor(model)(F.coalesce(F.col(text), F.lit(""))).alias("p"))
+    return out.select(
+        "row.*", F.when(F.col("letters"), F.col("p.lang_pred")).otherwise(UNDETERMINED).alias("lang_pred"),
+        F.when(F.col("letters"), F.col("p.score")).otherwise(0.0).alias("score"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlab.functions.binding import let
-from textlab.llm.common import WORD, word_count
+from textlab.llm.common import WORD, tidy, word_count
 from textlab.sources.storage import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -175,7 +175,7 @@ def slots(plan: DataFrame, block_words: int, shard_slots: int, seed: int) -> Dat
                     "block": block, "words": words,
                 })
 
-    return work.mapInPandas(fill, "shard long, slot long, source_no long, block long, words long")
+    return work.mapInPandas(tidy(fill), "shard long, slot long, source_no long, block long, words long")
 
 
 def _blocks_of(j: np.ndarray, r, block_words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -276,18 +276,22 @@ def mixed_documents(
     ).where("words > 0").groupBy("source_no", "start", "turn").agg(
         F.sort_array(F.collect_list(F.struct("at", "words"))).alias("spans"))
     keys = where.join(uses, ["source_no", "start"]).select("order", "turn", "spans", "start")
-    # Equal rows share the order key; a number among them pairs each with its own spans.
+    # Rows equal in id, text and source share the order key; a number among them pairs each
+    # with its own spans, by their other columns so that it is the same in every run.
     twin = Window.partitionBy("order").orderBy("start")
-    at = where.where("size > 0").select("order", "start").withColumn("_twin", F.row_number().over(twin))
-    keys = keys.join(at, ["order", "start"]).drop("start").withColumnRenamed("order", "_order")
-    digest = F.xxhash64(F.col(text))
-    rows = docs.withColumn("_order", F.xxhash64(doc_id, digest, F.col(source).cast("string")))
-    rows = rows.withColumn("_twin", F.row_number().over(
-        Window.partitionBy("_order").orderBy(F.lit(0))))
-    words = F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"))
+    at = where.where("size > 0").select("order", "start").withColumn("twin", F.row_number().over(twin))
+    keys = keys.join(at, ["order", "start"]).drop("start")
+    # The row in one piece, so that no column of it can meet those added here.
+    order = F.xxhash64(doc_id, F.xxhash64(F.col(text)), F.col(source).cast("string"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), order.alias("order"))
+    content = F.to_json("row")
+    rows = rows.withColumn("twin", F.row_number().over(
+        Window.partitionBy("order").orderBy(F.xxhash64(content), content)))
+    words = F.regexp_extract_all(F.col("row")[text], F.lit(f"({WORD})"))
     joined = let(words, lambda w: F.array_join(F.flatten(F.transform(
         "spans", lambda s: F.slice(w, s["at"].cast("int") + 1, s["words"].cast("int")))), " "))
-    out = rows.join(keys, ["_order", "_twin"]).withColumn(text, joined)
+    out = rows.join(keys, ["order", "twin"]).select("row", joined.alias("joined"))
+    new = {c: F.col("row")[c] for c in docs.columns} | {text: F.col("joined")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        new["n_chars"] = F.length("joined").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[value.alias(c) for c, value in new.items()])

@@ -15,6 +15,7 @@ many share the key.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from textlab.llm.common import bounded_batches, components
+from textlab.llm.common import bounded_batches, components, give_back
 from textlab.sources.storage import materialize
 
 BITS = 64
@@ -63,8 +64,12 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 @F.pandas_udf(LongType())
-def _fingerprints(texts: pd.Series) -> pd.Series:
-    return texts.map(fingerprint).astype("int64")
+def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    try:
+        for texts in batches:
+            yield texts.map(fingerprint).astype("int64")
+    finally:
+        give_back()
 
 
 def fingerprint_of(text: Column) -> Column:
@@ -185,9 +190,10 @@ def one_per_group(
     several groups may represent each of them. Rows with a null id are kept."""
     groups = _labelled(docs, text, doc_id, tau)
     stay = groups.where("doc_id = component_id").groupBy("label").agg(
-        F.min(F.struct("doc_id", "fp")).alias("_least")).select(
-        F.col("_least.doc_id").alias(doc_id), F.col("_least.fp").alias("_fp"))
-    named = docs.where(F.col(doc_id).isNotNull()).withColumn("_fp", fingerprint_of(F.col(text)))
-    named = named.join(stay, [doc_id, "_fp"], "left_semi")
-    return named.dropDuplicates([doc_id, "_fp"]).select(docs.columns).unionByName(
-        docs.where(F.col(doc_id).isNull()))
+        F.min(F.struct("doc_id", "fp")).alias("least")).select("least.doc_id", "least.fp")
+    # The row in one piece, so that no column of it can meet those added here.
+    row = F.struct(*docs.columns).alias("row")
+    named = docs.where(F.col(doc_id).isNotNull()).select(
+        F.col(doc_id).alias("doc_id"), fingerprint_of(F.col(text)).alias("fp"), row)
+    kept = named.join(stay, ["doc_id", "fp"], "left_semi").dropDuplicates(["doc_id", "fp"])
+    return kept.select("row.*").unionByName(docs.where(F.col(doc_id).isNull()))

@@ -21,10 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm.common import bounded_batches
+from textlab.llm.common import bounded_batches, tidy
 from textlab.sources.storage import materialize
 
 WINDOW = 35
@@ -68,7 +69,7 @@ def pack(df: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                     {"n_bytes": [size], "payload": [_compress(batch.slice(at, to - at))]})
                 at = to
 
-    blocks = df.mapInArrow(run, "n_bytes long, payload binary")
+    blocks = df.mapInArrow(tidy(run), "n_bytes long, payload binary")
     return materialize(
         blocks.select(F.monotonically_increasing_id().alias("block"), "*"), "substring_blocks")
 
@@ -152,9 +153,11 @@ def windows_around(words: Words, found: np.ndarray, window: int, period: int) ->
 
 
 def window_keys(words: Words, at: np.ndarray, window: int) -> np.ndarray:
-    """128-bit hashes of full windows as 16-byte strings."""
-    pair = np.stack([words.hashes(at, window, 2), words.hashes(at, window, 3)], axis=1)
-    return np.ascontiguousarray(pair).view("V16").ravel()
+    """128-bit hashes of the bytes of full windows as 16-byte strings. Unlike the running
+    sums of the anchors, which only propose, these decide."""
+    text, digest = memoryview(words.bytes), xxhash.xxh3_128_digest
+    spans = zip(words.starts[at].tolist(), words.starts[at + window].tolist())
+    return np.frombuffer(b"".join([digest(text[a:b]) for a, b in spans]), "V16")
 
 
 # -- one bit for each distinct hash of a block ------------------------------
@@ -288,14 +291,14 @@ def remove_repeats(
                 yield from _cut(table, words, starts, window).to_batches()
 
     # Replies hold a bit per hash; payloads are read again rather than stored again.
-    first = materialize(_replies(blocks.mapInArrow(send_anchors, SENT), 8), "substring_anchors")
+    first = materialize(_replies(blocks.mapInArrow(tidy(send_anchors), SENT), 8), "substring_anchors")
     marked = blocks.select("block", "payload").join(first, "block", "left")
-    second = _replies(marked.mapInArrow(send_windows, SENT), 16)
+    second = _replies(marked.mapInArrow(tidy(send_windows), SENT), 16)
     second = materialize(second.withColumnRenamed("reply", "second"), "substring_windows")
     ready = marked.join(second, "block", "left")
     fields = "n_words long, n_removed long, kept_sha256 string, kept string"
     out = spark.createDataFrame([], fields).schema
-    return ready.mapInArrow(cut, type(schema)(schema.fields + out.fields))
+    return ready.mapInArrow(tidy(cut), type(schema)(schema.fields + out.fields))
 
 
 def _parallel(spark: SparkSession) -> int:
