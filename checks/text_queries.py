@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from checks import views as V
-from checks.registry import query
+from checks.registry import ORACLES, query
 from textlab.functions import text as X
+from textlab.functions.dictionary import replace_entries
 from textlab.operators import explore, labelled
 from textlab.sources import delimited as D
 from textlab.sources.ranges import read_split_csv as read_split
@@ -201,6 +202,13 @@ def demojize(spark, sf):
     return V.tweets(spark, sf).select("row_id", X.demojize("text").alias("text"))
 
 
+@query("demojize_automaton", ORACLES["demojize"])
+def demojize_automaton(spark, sf):
+    """The same by the automaton that takes dictionaries of any size."""
+    tweets = V.tweets(spark, sf)
+    return tweets.select("row_id", replace_entries(spark, "text", V.EMOJI).alias("text"))
+
+
 @query("emoji_tokens", f"""WITH {V.TWEETS_CTE},
 lists AS (SELECT row_id, regexp_extract_all(text, '{V.EMOJI_PATTERN}') AS e FROM tweets),
 spread AS (SELECT row_id, unnest(e) AS emoji, generate_subscripts(e, 1) - 1 AS pos FROM lists)

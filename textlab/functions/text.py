@@ -9,10 +9,11 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from textlab.functions.binding import let
+from textlab.functions.dictionary import replace_entries
 from textlab.functions.emoji_names import default_emoji_names
 
 # Hashtags that switch on masking (exact, case-sensitive).
@@ -65,7 +66,7 @@ HASHTAG = f"#{WORD}+"
 MENTION = f"@{WORD}{{1,15}}"
 URL = f"https?://{NON_SPACE}+"
 
-# Above this many entries a dictionary belongs in a table joined by `emoji_tokens`.
+# Above this many entries a dictionary is matched by an automaton instead of one pattern.
 MAX_LITERAL_NAMES = 20_000
 _NAME_SLOTS = 64
 
@@ -114,13 +115,6 @@ def emoji_pattern(names: Mapping[str, str]) -> str:
     return f"(?={coarse})(?:{'|'.join(branches)})"
 
 
-def _check_names(names: Mapping[str, str]) -> None:
-    if len(names) > MAX_LITERAL_NAMES:
-        raise ValueError(
-            f"{len(names)} names exceed {MAX_LITERAL_NAMES}; use operators.explore.emoji_tokens"
-        )
-
-
 def emoji_name(token: Column, names: Mapping[str, str]) -> Column:
     """Name of one emoji; the folded literal is slotted by first code point."""
     slots: list[dict[str, str]] = [{} for _ in range(_NAME_SLOTS)]
@@ -158,11 +152,15 @@ def demojize(
     """Replace every emoji by its delimited name, longest entry first, left to right.
 
     Text between emoji and the emoji themselves come from the same pattern, so the
-    pieces interleave exactly.
+    pieces interleave exactly. A dictionary of more than ``MAX_LITERAL_NAMES`` entries is
+    matched by an automaton in Python instead (`dictionary.replace_entries`), with the same
+    result; texts without a byte of an entry do not go there.
     """
     c = _col(col)
     names = default_emoji_names() if names is None else names
-    _check_names(names)
+    if len(names) > MAX_LITERAL_NAMES:
+        large = replace_entries(SparkSession.active(), c, names, delimiters)
+        return F.when(_may_hold_emoji(c, names), large).otherwise(c)
     pattern = emoji_pattern(names)
     left, right = (F.lit(d) for d in delimiters)
 

@@ -40,6 +40,10 @@ def count_hashtags(df: DataFrame, col: str = "text", k: int | None = None) -> Da
     return top(tags.groupBy("hashtag").agg(F.count(F.lit(1)).alias("count")), "count", "hashtag", k)
 
 
+# Entries of a dictionary that are brought to the driver.
+MAX_NAMES = 1_000_000
+
+
 def emoji_tokens(
     df: DataFrame, names: DataFrame, pattern: str, col: str = "text", row_id: str = "row_id"
 ) -> DataFrame:
@@ -53,8 +57,9 @@ def emoji_tokens(
 
 
 def names_of(table: DataFrame) -> dict[str, str]:
-    """A stored dictionary ``emoji, name`` for the text functions."""
-    rows = rows_if_small(table.select("emoji", "name"), T.MAX_LITERAL_NAMES)
+    """A stored dictionary ``emoji, name`` for the text functions; it travels by the driver,
+    so its size is checked."""
+    rows = rows_if_small(table.select("emoji", "name"), MAX_NAMES)
     if rows is None:
-        raise ValueError("the dictionary is too large for a literal; use emoji_tokens")
+        raise ValueError("the dictionary is too large for the driver; use emoji_tokens")
     return {r["emoji"]: r["name"] for r in rows}
