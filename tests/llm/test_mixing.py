@@ -115,3 +115,27 @@ def test_equal_rows_with_other_columns_mix_the_same_again(spark, documents):
     mixes = [sorted(map(str, mixing.mixed_documents(d).collect()))
              for d in (docs, docs.orderBy(F.desc("mark")).coalesce(1))]
     assert mixes[0] == mixes[1]
+
+
+def test_taken_words_by_walking_through_every_slot(spark, documents):
+    rng = random.Random(11)
+    rows = [(i, "w " * rng.choice([0, 1, 5, 40, 64, 65, 300]), rng.choice("abcd")) for i in range(150)]
+    docs = documents(rows + rows[:9])
+    where, _, deal = mixing.mix(docs, block_words=16, shard_slots=32)
+    stream = defaultdict(list)  # per source the document of every word
+    for r in sorted(where.collect(), key=lambda r: (r["source_no"], r["start"])):
+        if r["size"]:
+            assert r["start"] == len(stream[r["source_no"]])
+            stream[r["source_no"]] += [(r["doc_id"], r["start"])] * r["size"]
+    taken, seen = Counter(), set()
+    for s in deal.collect():
+        assert (s["shard"], s["slot"]) not in seen and s["slot"] < 32
+        seen.add((s["shard"], s["slot"]))
+        first = s["block"] * 16
+        for word in stream[s["source_no"]][first : first + s["words"]]:
+            taken[word[0]] += 1
+    assert seen == {(i // 32, i % 32) for i in range(len(seen))}
+    got = Counter()
+    for r in mixing.mix_counts(docs, block_words=16, shard_slots=32).collect():
+        got[r["doc_id"]] += r["taken"]
+    assert +got == taken

@@ -1,5 +1,13 @@
+import random
+from collections import Counter
+
+import public_tokenizers
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
 import corpus_pipeline
-from textlab.llm import langid, simhash, substring
+from tests.llm.test_simhash import slow_fingerprint, slow_groups
+from textlab.llm import langid, mixing, simhash, substring
 from textlab.sources.storage import materialize
 
 
@@ -50,3 +58,69 @@ def test_language_bar_follows_the_number_of_languages(spark, documents, monkeypa
     monkeypatch.setattr(langid, "predict_languages", lambda docs, model: docs.selectExpr(
         "*", "'en' AS lang_pred", "0.52D AS score"))
     assert corpus_pipeline.identify_language(spark, two, "").count() == 0
+
+
+def slow_pipeline(docs, model):
+    """All stages on a list of (doc_id, text, lang, source) rows with unique ids: languages by
+    the network's pooled probabilities, groups and windows by comparing all with all."""
+    bar = corpus_pipeline.least_score(len(model.languages))
+    kept = [d for d in docs if d[1] and any(c.isalpha() for c in d[1])
+            and langid.pooled(model, [d[1].encode()])[0].max() >= bar]
+    kept.sort()
+    groups = slow_groups([slow_fingerprint(d[1]) for d in kept])
+    kept = [d for i, d in enumerate(kept) if groups[i] == i]
+    words = [d[1].split() for d in kept]
+    windows = Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
+    out = []
+    for d, w in zip(kept, words):
+        gone = {p for i in range(len(w) - 34) if windows[tuple(w[i : i + 35])] > 1 for p in range(i, i + 35)}
+        out.append((d[0], " ".join(x for i, x in enumerate(w) if i not in gone) if gone else d[1]))
+    return out
+
+
+def test_by_brute_force(spark, documents, parquet_dir):
+    rng = random.Random(4)
+    passage = " ".join(f"shared{i}" for i in range(50))
+    texts = [" ".join(rng.choice(["some", "plain", "words", "of", "text", f"n{rng.randrange(99)}"])
+                      for _ in range(rng.randint(20, 90))) for _ in range(40)]
+    texts += [texts[3], texts[3] + "  ", texts[5].upper(), f"{texts[7]} {passage} end", f"start {passage} {texts[9]}",
+              "12 34 ! ?", "", None, "x " * 3000]
+    rows = [(i, t, "abc"[i % 3]) for i, t in enumerate(texts)]
+    docs = documents(rows).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("xx"))
+    docs.write.parquet(f"{parquet_dir}/documents.parquet")
+    model = langid.learn(spark.read.parquet(f"{parquet_dir}/documents.parquet"))
+    want = dict(slow_pipeline([(i, t, "", s) for i, t, s in rows], model))
+    assert len(want) < len(texts) - 5 and any("shared0" not in t and texts[i] and "shared0" in texts[i]
+                                              for i, t in want.items())
+    got = corpus_pipeline.run(spark, parquet_dir)
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    taken = Counter()
+    for r in got.collect():
+        assert r["round_trip"] and r["n_tokens"] == len(r["ids"])
+        text = library.decode(r["ids"], skip_special_tokens=False)
+        assert r["ids"] == library.encode(text, add_special_tokens=False).ids
+        # Words of the document in its order, in part or whole.
+        words, at = want[r["doc_id"]].split(), 0
+        for w in text.split():
+            at = words.index(w, at) + 1
+        taken[r["doc_id"]] += len(text.split())
+    left = documents([(i, t, "abc"[i % 3]) for i, t in want.items()])
+    counts = {r["doc_id"]: r["taken"] for r in mixing.mix_counts(left).collect()}
+    assert +taken == Counter({i: n for i, n in counts.items() if n})
+
+
+def test_odd_documents(spark, parquet_dir):
+    schema = ("doc_id long, text string, lang string, source string, n_chars long, fp int, spans string, _p int, "
+              "component_id long")
+    good = [(i, f"some words of document number {i} " * 9, "en", "a", 9, 1, "x", 2, 3) for i in range(30)]
+    odd = [(None, "no id at all but some words", "en", None, None, None, None, None, None),
+           (1, None, None, None, None, None, None, None, None), (2, "", "en", "a", 0, 1, "y", 2, 3),
+           (50, "long " * 60_000, None, "b", 1, 1, "x", 2, 3), good[0], good[0],
+           (51, "<|endoftext|> " * 40, "de", "b", 1, 1, "x", 2, 3), (52, "\x00   ́ 😀 letters", "de", "b", 1, 1, "x", 2, 3)]
+    docs = spark.createDataFrame(good + odd, schema)
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, parquet_dir), name)
+        if name != "bpe_encoding":
+            assert docs.columns == columns
+    assert docs.where("NOT round_trip").count() == 0 and docs.count() > 0

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from textlab.llm import simhash
@@ -102,3 +103,11 @@ def test_a_repeated_id_stands_for_each_of_its_groups(spark, documents):
     rows = [(5, one), (5, two), (5, two), (7, one), (8, two), (3, three), (5, three)]
     kept = simhash.one_per_group(documents(rows)).collect()
     assert sorted((r.doc_id, r.text) for r in kept) == [(3, three), (5, one), (5, two)]
+
+
+def test_the_same_row_stands_for_its_group_in_every_run(spark, documents):
+    rows = [(4, "a b c d e"), (4, "a b c d e"), (4, "A b c d e"), (9, "a b c d e")]
+    docs = documents(rows).withColumn("n_chars", F.monotonically_increasing_id())
+    kept = [list(map(tuple, simhash.one_per_group(d).collect()))
+            for d in (docs.coalesce(1), docs.orderBy(F.desc("n_chars")).coalesce(1), docs.repartition(3))]
+    assert len(kept[0]) == 1 and kept[0] == kept[1] == kept[2]

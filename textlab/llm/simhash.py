@@ -186,8 +186,9 @@ def one_per_group(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tau: int = TAU
 ) -> DataFrame:
     """The rows of ``docs`` that represent their near-duplicate group: the one with the
-    smallest id, of several such rows one with the smallest fingerprint. An id with texts of
-    several groups may represent each of them. Rows with a null id are kept."""
+    smallest id, of several such rows one with the smallest fingerprint, then by the digests
+    of the text and of the other columns, so that every run keeps the same one. An id with
+    texts of several groups may represent each of them. Rows with a null id are kept."""
     groups = _labelled(docs, text, doc_id, tau)
     stay = groups.where("doc_id = component_id").groupBy("label").agg(
         F.min(F.struct("doc_id", "fp")).alias("least")).select("least.doc_id", "least.fp")
@@ -195,5 +196,8 @@ def one_per_group(
     row = F.struct(*docs.columns).alias("row")
     named = docs.where(F.col(doc_id).isNotNull()).select(
         F.col(doc_id).alias("doc_id"), fingerprint_of(F.col(text)).alias("fp"), row)
-    kept = named.join(stay, ["doc_id", "fp"], "left_semi").dropDuplicates(["doc_id", "fp"])
+    same = [F.col("row")[c] for c, kind in docs.dtypes if "map<" not in kind]  # maps have no hash
+    order = F.struct(F.sha2(F.coalesce(F.col("row")[text], F.lit("")), 256), F.xxhash64(*same))
+    kept = named.join(stay, ["doc_id", "fp"], "left_semi").groupBy("doc_id", "fp").agg(
+        F.min_by("row", order).alias("row"))
     return kept.select("row.*").unionByName(docs.where(F.col(doc_id).isNull()))
