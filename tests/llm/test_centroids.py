@@ -100,6 +100,17 @@ def test_only_expired_vectors_are_looked_at():
     assert max(looked) < 50
 
 
+def test_blocks_at_rest():
+    rng = np.random.default_rng(3)
+    vectors = np.floor(1024 * np.concatenate([rng.normal(m, 0.1, (50, 4)) for m in (-3, 3)]))
+    model = centroids.Centroids(vectors[[0, 50, 51]])
+    block = centroids.first_round(vectors, model.now)
+    row = centroids._state_row(0, 0, block)
+    for drift in ([0.0] * 3, [1e9, 0.0, 0.0], [0.0, 0.0, 1e9], [1e9] * 3):
+        again = centroids._block_of(row)
+        assert centroids._at_rest(row, drift) == (centroids.next_round(again, vectors, model.now, drift) == 0)
+
+
 def test_bounds_never_decide_on_a_long_walk():
     rng = np.random.default_rng(2)
     vectors = np.floor(64 * rng.normal(0, 1, (800, 4)))

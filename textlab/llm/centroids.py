@@ -244,6 +244,17 @@ def _block_of(row: dict) -> Block:
     return Block(np.frombuffer(row["cluster"], "<i4").copy(), heaps)
 
 
+def _at_rest(row: dict, drift: list[float]) -> bool:
+    """Whether the root of every heap of a stored block is above the drift: nothing in it has
+    run out, and its vectors need not be looked at."""
+    keys, at = np.frombuffer(row["keys"], "<f8"), 0
+    for size, moved in zip(row["sizes"], drift):
+        if size and keys[at] <= moved:
+            return False
+        at += size
+    return True
+
+
 _STATE_ARROW = pa.schema([
     ("part", pa.int32()), ("block", pa.int32()), ("cluster", pa.binary()), ("keys", pa.binary()),
     ("rows", pa.binary()), ("sizes", pa.list_(pa.int32())), ("moved", pa.list_(pa.string()))])
@@ -256,6 +267,10 @@ def _assign(blocks: DataFrame, model: Centroids, width: int, first: bool) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
+                if not first and _at_rest(row, drift):
+                    stays = {n: row[n] for n in _STATE_ARROW.names if n != "moved"}
+                    yield pa.RecordBatch.from_pylist([stays | {"moved": []}], _STATE_ARROW)
+                    continue
                 vectors = _unpacked(row["vectors"], width)
                 if first:
                     block = first_round(vectors, now)
