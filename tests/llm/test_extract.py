@@ -215,6 +215,20 @@ def test_matching_is_the_best_one():
         assert sum(j >= 0 for j in few) <= best(a, b) and few[0] == 0
 
 
+def test_long_lists_lose_no_partner():
+    """Lists whose like items stand far apart, which a cut in proportion does not bring together."""
+    def items(inner):
+        return tree("<ul>" + "".join(f"<li>{x}</li>" for x in inner) + "</ul>")
+
+    rng = random.Random(5)
+    like = ["".join(rng.choice(["<p>x</p>", "<dl>x</dl>", "<h2>x</h2>"]) for _ in range(12)) for _ in range(60)]
+    a = items(["<pre>x</pre>", *like, *["<hr>"] * 300, "<table></table>"])
+    b = items(["<table></table>", *["<form></form>"] * 300, *like, "<pre>x</pre>"])
+    partner = quickly(20, lambda: html_tree.tree_match(a, b))
+    assert sum(j >= 0 for j in partner) >= 2 + 60 * 13
+    assert partner == html_tree.tree_match(a, b, cells=10**9) == html_tree.tree_match(a, b, cells=0)
+
+
 @pytest.mark.parametrize("piece", ["<a ", "<a \"", "<p class='", "<!x ", "</", "<"])
 def test_broken_markup_takes_linear_time(piece):
     quickly(10, lambda: html_tree.parse(piece * 200_000))

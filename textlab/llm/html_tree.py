@@ -9,6 +9,9 @@ from __future__ import annotations
 import html
 import math
 import re
+from array import array
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -38,8 +41,10 @@ _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"(?<![^\s/])(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
-# Entries of the table that aligns two child lists; see `tree_match`.
+# Entries of the table that aligns two child lists up to which it is kept; see `tree_match`.
 MATCH_CELLS = 40_000
+_SHORT = 32  # up to so many columns a table is made without numpy
+_TOGETHER = 64  # lists of shapes that are held before they are made one
 _DIGITS = re.compile(r"[0-9]+")
 
 
@@ -200,11 +205,12 @@ def unpack_tree(data: bytes) -> Tree:
     return Tree(sign, children, text, size)
 
 
-def _shapes(tree: Tree) -> list[int]:
-    """Digest of the signatures of every subtree, children after their parents."""
+def _shapes(tree: Tree, known: dict[tuple[int, ...], int]) -> list[int]:
+    """Shape of every subtree: a number in ``known`` for its signature and the shapes of its
+    children, which have smaller numbers."""
     out = [0] * len(tree.sign)
     for node in range(len(tree.sign) - 1, -1, -1):
-        out[node] = hash((tree.sign[node], *(out[c] for c in tree.children[node])))
+        out[node] = known.setdefault((tree.sign[node], *(out[c] for c in tree.children[node])), len(known))
     return out
 
 
@@ -214,86 +220,132 @@ def tree_match(a: Tree, b: Tree, cells: int = MATCH_CELLS) -> list[int]:
     Roots match if their signatures are equal; the children of matched nodes are aligned
     in order so that the matched subtrees hold as many nodes as possible. Subtrees of equal
     shape at either end of two child lists are paired at once, which loses nothing, so long
-    lists of like items take linear time. Where what is left of two lists would fill a table
-    of more than ``cells`` entries, both are cut in proportion and aligned piece by piece; no
-    node is left out. There is no recursion, so any depth will do.
+    lists of like items take linear time. What is left of two lists is aligned whole, however
+    long: a table of more than ``cells`` entries is not kept but made again in blocks of rows.
+    Pairs of subtrees are weighed once per pair of shapes. There is no recursion, so any depth
+    will do.
     """
-    shape_a, shape_b = _shapes(a), _shapes(b)
-
-    def pieces(i: int, j: int) -> tuple[list[tuple[int, int]], list[tuple[list[int], list[int]]]]:
-        """Children paired at once, and the lists that are left to a table."""
-        x, y = a.children[i], b.children[j]
+    if not a.sign or not b.sign or a.sign[0] != b.sign[0]:
+        return [-1] * len(a.sign)
+    known: dict[tuple[int, ...], int] = {}
+    shape_a, shape_b = _shapes(a, known), _shapes(b, known)
+    kinds, sizes = list(known), []
+    for kind in kinds:
+        sizes.append(1 + sum(sizes[k] for k in kind[1:]))
+    flat = [sizes[u] == len(kind) for u, kind in enumerate(kinds)]  # no grandchildren
+
+    def ends(x: Sequence[int], y: Sequence[int]) -> tuple[int, int]:
+        """How many shapes are equal at the beginning and at the end of two lists."""
         n, head, tail = min(len(x), len(y)), 0, 0
-        while head < n and shape_a[x[head]] == shape_b[y[head]]:
+        while head < n and x[head] == y[head]:
             head += 1
-        while tail < n - head and shape_a[x[-1 - tail]] == shape_b[y[-1 - tail]]:
+        while tail < n - head and x[-1 - tail] == y[-1 - tail]:
             tail += 1
-        sure = [*zip(x[:head], y[:head]), *zip(x[len(x) - tail :], y[len(y) - tail :])]
-        x, y = x[head : len(x) - tail], y[head : len(y) - tail]
-        if len(x) * len(y) <= cells:
-            return sure, [(x, y)]
-        n = -(-max(len(x), len(y)) // max(1, math.isqrt(cells)))
-
-        def piece(z: list[int], k: int) -> list[int]:
-            return z[k * len(z) // n : (k + 1) * len(z) // n]
-
-        return sure, [(piece(x, k), piece(y, k)) for k in range(n)]
-
-    weights: dict[tuple[int, int], int] = {}
+        return head, tail
+
+    # By shape: the shapes it is weighed against in ascending order, and the weights.
+    against: dict[int, array] = {}
+    weights: dict[int, array] = {}
+
+    def weight(u: int, v: int) -> int:
+        if u == v:
+            return sizes[u]
+        return weights[u][bisect_left(against[u], v)] if kinds[u][0] == kinds[v][0] else 0
+
+    def rows(x: Sequence[int], y: Sequence[int], row: Sequence[int]) -> Iterator[Sequence[int]]:
+        """The rows of the table of two lists of shapes that follow on a given one."""
+        distinct = list(set(y))
+        place = {v: k for k, v in enumerate(distinct)}
+        at: Sequence[int] = [place[v] for v in y]
+        wide = len(y) > _SHORT
+        if wide:
+            at = np.array(at)
+        for u in x:
+            gains, last = [weight(u, v) for v in distinct], row
+            if wide:
+                row = np.zeros(len(y) + 1, np.int64)
+                np.maximum(last[1:], last[:-1] + np.array(gains)[at], out=row[1:])
+                np.maximum.accumulate(row, out=row)
+            else:
+                row = [0]
+                for k, g in enumerate(at):
+                    row.append(max(last[k + 1], row[k], last[k] + gains[g]))
+            yield row
+
+    def before(y: Sequence[int]) -> Sequence[int]:
+        return np.zeros(len(y) + 1, np.int64) if len(y) > _SHORT else [0] * (len(y) + 1)
+
+    def aligned(x: Sequence[int], y: Sequence[int]) -> Iterator[tuple[int, int]]:
+        """Places that stand together in two lists of shapes, the last first."""
+        whole = len(x) * len(y) <= cells
+        step = max(1, len(x) if whole else math.isqrt(len(x)))
+        starts = [before(y)]
+        if step < len(x):
+            starts += [row for p, row in enumerate(rows(x, y, starts[0]), 1) if p % step == 0]
+        q = len(y)
+        for low in range((len(x) - 1) // step * step, -1, -step):
+            first = starts[low // step]
+            best = [first, *rows(x[low : low + step], y, first)]
+            p = len(best) - 1
+            while p and q:
+                if best[p][q] == best[p - 1][q]:
+                    p -= 1
+                elif best[p][q] == best[p][q - 1]:
+                    q -= 1
+                else:
+                    p, q = p - 1, q - 1
+                    yield low + p, q
 
-    def weight(i: int, j: int) -> int:
-        if shape_a[i] == shape_b[j]:
-            return sizes[i]
-        return weights.get((i, j), 0) if a.sign[i] == b.sign[j] else 0
-
-    sizes = [1] * len(a.sign)
-    for node in range(len(a.sign) - 1, -1, -1):
-        sizes[node] += sum(sizes[c] for c in a.children[node])
-
-    def table(x: list[int], y: list[int]) -> list[list[int]]:
-        best = [[0] * (len(y) + 1)]
-        for i in x:
-            last, row = best[-1], [0]
-            for k, j in enumerate(y):
-                row.append(max(last[k + 1], row[k], last[k] + weight(i, j)))
-            best.append(row)
-        return best
-
-    # Every pair is met below one pair of parents only; found from the roots on, weighed back.
-    if not a.sign or not b.sign or a.sign[0] != b.sign[0]:
-        return [-1] * len(a.sign)
-    met, parts = [(0, 0)], {}
-    for i, j in met:
-        if shape_a[i] != shape_b[j]:
-            sure, left = parts[i, j] = pieces(i, j)
-            met += [(u, v) for u, v in sure if shape_a[u] != shape_b[v]]
-            met += [(u, v) for x, y in left for u in x for v in y
-                    if a.sign[u] == b.sign[v] and shape_a[u] != shape_b[v]]
-    for i, j in reversed(met):
-        if (i, j) in parts:
-            sure, left = parts[i, j]
-            weights[i, j] = 1 + sum(weight(u, v) for u, v in sure) + sum(
-                table(x, y)[-1][-1] for x, y in left)
+    # Pairs of shapes are found from the roots on and weighed back. Those below a shape have
+    # smaller numbers, so all that a shape meets is known when its turn comes.
+    met: dict[int, list[Sequence[int]]] = {shape_a[0]: [(shape_b[0],)]}
+    for u in range(shape_a[0], -1, -1):
+        if u not in met:
+            continue
+        others = sorted(set().union(*met.pop(u)) - {u})
+        against[u] = array("q", others)
+        for v in others:
+            if flat[u] and flat[v]:
+                continue  # children of one signature have one shape
+            x, y = kinds[u][1:], kinds[v][1:]
+            head, tail = ends(x, y)
+            by_sign: dict[int, list[int]] = {}
+            for w in set(y[head : len(y) - tail]):
+                by_sign.setdefault(kinds[w][0], []).append(w)
+            for w in set(x[head : len(x) - tail]) if by_sign else ():
+                if kinds[w][0] in by_sign:
+                    lists = met.setdefault(w, [])
+                    lists.append(by_sign[kinds[w][0]])
+                    if len(lists) > _TOGETHER:
+                        lists[:] = [array("q", set().union(*lists))]
+    for u in sorted(against):
+        if u == shape_a[0]:
+            break  # the roots are not weighed against anything
+        weights[u] = array("q")
+        for v in against[u]:
+            x, y = kinds[u][1:], kinds[v][1:]
+            head, tail = ends(x, y)
+            n = 1 + sum(sizes[k] for k in x[:head]) + sum(sizes[k] for k in x[len(x) - tail :])
+            x, y = x[head : len(x) - tail], y[head : len(y) - tail]
+            if x and y:
+                last = before(y)
+                for last in rows(x, y, last):
+                    pass
+                n += int(last[-1])
+            weights[u].append(n)
 
     partner = [-1] * len(a.sign)
     todo = [(0, 0)]
     while todo:
         i, j = todo.pop()
         partner[i] = j
+        x, y = a.children[i], b.children[j]
         if shape_a[i] == shape_b[j]:
-            todo += zip(a.children[i], b.children[j])
+            todo += zip(x, y)
             continue
-        sure, left = parts[i, j]
-        todo += sure
-        for x, y in left:
-            best = table(x, y)
-            p, q = len(x), len(y)
-            while p and q:
-                if best[p][q] == best[p - 1][q]:
-                    p -= 1
-                elif best[p][q] == best[p][q - 1]:
-                    q -= 1
-                else:
-                    p, q = p - 1, q - 1
-                    todo.append((x[p], y[q]))
+        u, v = kinds[shape_a[i]][1:], kinds[shape_b[j]][1:]
+        head, tail = ends(u, v)
+        todo += [*zip(x[:head], y[:head]), *zip(x[len(x) - tail :], y[len(y) - tail :])]
+        left = aligned(u[head : len(u) - tail], v[head : len(v) - tail])
+        todo += [(x[head + p], y[head + q]) for p, q in left]
     return partner
