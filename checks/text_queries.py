@@ -79,7 +79,7 @@ SELECT row_id, concat('"', text, chr(10), '",', chr(10)) AS text, label FROM twe
 def read_split_csv(spark, sf):
     """Texts with quotes and line breaks in them, read by byte ranges."""
     odd = F.concat(F.lit('"'), "text", F.lit('\n",\n'))
-    path = D.write_csv(V.tweets(spark, sf).withColumn("text", odd).coalesce(1), fresh_path(spark, "split-csv"))
+    path = D.write_csv(V.tweets(spark, sf).withColumn("text", odd), fresh_path(spark, "split-csv"))
     return read_split(spark, path, CSV_SCHEMA)
 
 

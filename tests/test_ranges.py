@@ -3,6 +3,8 @@ import random
 
 import pytest
 
+from checks import text_queries, views
+from checks.registry import QUERIES
 from textlab.sources import ranges
 from textlab.sources.delimited import LABELLED_SCHEMA, read_labelled_csv
 
@@ -85,3 +87,18 @@ def test_only_ranges_are_shuffled(spark, tmp_path):
     write(tmp_path / "a.csv", random.Random(1), 5)
     plan = ranges.read_split_csv(spark, str(tmp_path / "a.csv"), LABELLED_SCHEMA)._jdf.queryExecution().toString()
     assert "SinglePartition" not in plan
+
+
+def test_the_query_writes_as_it_reads(spark, narrow, tmp_path, monkeypatch):
+    """No task of the query gets all files of the table."""
+    docs = [(i, f'text {i}, "x"', "en", "web", 9) for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(
+        4).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2, 0) for i in range(0, 40, 2)], "doc_id long, quality int, toxic int").write.parquet(
+        str(tmp_path / "labels.parquet"))
+    paths = []
+    monkeypatch.setattr(text_queries, "read_split", lambda s, p, *a: paths.append(p) or ranges.read_split_csv(s, p, *a))
+    got = rows_of(QUERIES["read_split_csv"](spark, str(tmp_path)))
+    want = rows_of(views.tweets(spark, str(tmp_path)))
+    assert got == [(i, f'"{t}\n",\n', q) for i, t, q in want]
+    assert spark.read.text(paths[0]).select("_metadata.file_path").distinct().count() >= 4
