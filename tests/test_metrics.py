@@ -1,4 +1,6 @@
+import hashlib
 import math
+import re
 
 import numpy as np
 import pytest
@@ -125,6 +127,22 @@ def test_hashing_encoder(spark):
     assert "Python" not in planned(embed.embed(df)) and "Exchange" not in planned(embed.embed(df))
 
 
+@pytest.mark.parametrize("width", [1, 7, 64, 100])
+def test_hashing_encoder_counts_all_slots_at_once(spark, width):
+    texts = ["", "...", "one", "a b A a_b É é 7 " * 30, " ".join(f"w{i % 211}" for i in range(3000))]
+    df = spark.createDataFrame(list(enumerate([*texts, None])), "row_id long, text string")
+    out = embed.embed(df, width=width)
+    assert "array_remove" not in planned(out)  # a pass over all words for every slot
+    got = {r["row_id"]: r["embedding"] for r in out.collect()}
+    assert got.pop(5) is None
+    for i, v in got.items():
+        want = [0.0] * width
+        for w in re.findall(r"\w+", texts[i].lower()):
+            want[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % width] += 1
+        norm = sum(x * x for x in want) ** 0.5 or 1
+        assert v == pytest.approx([x / norm for x in want], abs=1e-6)
+
+
 def test_encoder_batches_and_nulls(spark):
     def factory():
         def encode(texts):

@@ -29,17 +29,34 @@ def hashing_vector(col: Column | str, width: int = 64) -> Column:
     """
     c = F.col(col) if isinstance(col, str) else col
     words = F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
-    head = lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10)
-    slots = F.transform(words, lambda w: (head(w).cast("bigint") % width).cast("int"))
-    vector = let(slots, lambda s: let(_slot_counts(s, width), _unit_length))
+    slots = F.transform(F.transform(words, F.md5), lambda h: _slot(h, width))
+    vector = let(_slot_counts(slots, width), _unit_length)
     return F.when(c.isNotNull(), vector)
 
 
+def _slot(digest: Column, width: int) -> Column:
+    """The first eight hexadecimal digits modulo ``width``; digits that cannot change it are
+    left out."""
+    # A digit's place in this string is its value, and 0 is not found.
+    digit = lambda p: F.instr(F.lit("123456789abcdef"), F.substring(digest, 8 - p, 1))
+    values = [digit(p) * F.lit(16**p % width).cast("bigint") for p in range(8) if 16**p % width]
+    return (sum(values, F.lit(0)) % width).cast("int")
+
+
 def _slot_counts(slots: Column, width: int) -> Column:
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(width - 1)),
-        lambda i: (F.size(slots) - F.size(F.array_remove(slots, i))).cast("double"),
-    )
+    """How often each slot occurs. With every slot added once the runs of the sorted array
+    are the slots in order, so one pass finds all counts."""
+    every = F.sequence(F.lit(0), F.lit(width - 1))
+
+    def starts(s: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(s) - 1),
+                        lambda i: ~F.get(s, i).eqNullSafe(F.get(s, i - 1)))
+
+    def counts(s: Column) -> Column:
+        return let(starts(s), lambda at: F.transform(
+            at, lambda p, k: (F.coalesce(F.get(at, k + 1), F.size(s)) - p - 1).cast("double")))
+
+    return let(F.sort_array(F.concat(slots, every)), counts)
 
 
 def _unit_length(v: Column) -> Column:
