@@ -11,6 +11,11 @@ Vectors are sorted along the first direction and cut into strips of equal number
 vectors. Two strips meet in one task if a window of the one reaches into the other; a task
 counts collisions of small blocks of pairs, and returns per vector its number of links and
 one representative it is linked to, never the pairs. Equal vectors are one weighted vector.
+
+A strip holds a fixed share of a larger table, up to ``STRIP_BYTES``, so until then a vector
+is copied a bounded number of times; copies are sent in batches of a few megabytes, however
+many there are. Blocks are counted on projections rounded to bytes, which lose no collision,
+and what passes is counted again exactly, a bounded number of pairs at a time.
 """
 
 from __future__ import annotations
@@ -19,11 +24,11 @@ from collections.abc import Iterator
 from math import comb, erf, sqrt
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlab.llm.common import components
+from textlab.llm.common import BATCH_BYTES, bounded_batches, components, give_back, tidy
 from textlab.sources.storage import materialize
 
 COSINE = 0.95
@@ -31,10 +36,19 @@ DIRECTIONS = 24
 # Half width of a window in standard deviations at the threshold.
 REACH = 3.0
 RECALL = 0.995
+# Rows of a strip at least; a larger table has _STRIPS of them until the unit vectors of a
+# strip take STRIP_BYTES.
 STRIP_ROWS = 4096
+STRIP_BYTES = 32 << 20
+_STRIPS = 8
 # Directions counted for all pairs of a block before pairs are listed.
-_DENSE = 10
+_DENSE = 16
 _BLOCK = 256
+_TILE = 4096
+# Steps of a rounded projection in the half width of a window.
+_STEPS = 32
+# Bytes of projections or vectors gathered for listed pairs at a time.
+_LISTED_BYTES = 8 << 20
 
 
 def half_width(cosine: float = COSINE, reach: float = REACH) -> float:
@@ -65,6 +79,21 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
+def _wide(width: float) -> float:
+    """A half width in which rounding never loses a collision."""
+    return width * (1 + 1e-5) + 1e-5
+
+
+def _codes(values: np.ndarray, width: float) -> np.ndarray:
+    """Projections in steps of a ``_STEPS``-th of ``width``, modulo 256, a row for each
+    direction. Values that collide differ by at most ``_STEPS`` steps; others may seem to."""
+    step = _wide(width) / _STEPS
+    codes = np.empty(values.shape[::-1], np.uint8)
+    for k, row in enumerate(codes):
+        row[:] = np.floor(values[:, k] / step).astype(np.int64) & 255
+    return codes
+
+
 def linked_pairs(
     left: np.ndarray, right: np.ndarray, same: bool, cosine: float, width: float,
     count: int, seed: int, directions: int,
@@ -73,31 +102,39 @@ def linked_pairs(
     ``same``: the sets are one, and only pairs i < j count."""
     axes = _directions(directions, left.shape[1], seed)
     a, b = left @ axes.T, right @ axes.T
-    order = np.argsort(b[:, 0], kind="stable")
-    b, rows = b[order], order
-    by_a = np.argsort(a[:, 0], kind="stable")
+    by_a, by_b = np.argsort(a[:, 0], kind="stable"), np.argsort(b[:, 0], kind="stable")
+    along_a, along_b = a[by_a, 0], b[by_b, 0]
+    codes_a, codes_b = _codes(a[by_a], width) + np.uint8(_STEPS), _codes(b[by_b], width)
     miss_most = directions - count
-    low32, high32 = a.astype(np.float32).T.copy(), b.astype(np.float32).T.copy()
-    wide = np.float32(width * (1 + 1e-5) + 1e-5)  # rounding never loses a collision
+    apart, over, missed = (np.empty(_BLOCK * _TILE, kind) for kind in (np.uint8, bool, np.uint8))
+    listed = max(1, _LISTED_BYTES // (8 * max(left.shape[1], directions)))
     for at in range(0, len(by_a), _BLOCK):
-        queries = by_a[at : at + _BLOCK]
-        first = np.searchsorted(b[:, 0], a[queries[0], 0] - width, "left")
-        last = np.searchsorted(b[:, 0], a[queries[-1], 0] + width, "right")
-        if first >= last:
-            continue
-        missed = np.zeros((len(queries), last - first), np.int8)
-        for k in range(min(_DENSE, directions)):
-            missed += np.abs(low32[k, queries][:, None] - high32[k, first:last]) > wide
-        i, j = np.nonzero(missed <= miss_most)
-        i, j = queries[i], j + first
-        if same:
-            keep = i < rows[j]
-            i, j = i[keep], j[keep]
-        hits = (np.abs(a[i] - b[j]) <= width).sum(axis=1)
-        i, j = i[hits >= count], rows[j[hits >= count]]
-        close = np.einsum("ij,ij->i", left[i], right[j]) >= cosine
-        if close.any():
-            yield i[close], j[close]
+        to = min(at + _BLOCK, len(by_a))
+        # Of one set, a pair is counted at the query that comes first.
+        first = at if same else np.searchsorted(along_b, along_a[at] - width, "left")
+        last = np.searchsorted(along_b, along_a[to - 1] + width, "right")
+        for low in range(first, last, _TILE):
+            high = min(low + _TILE, last)
+            shape, n = (to - at, high - low), (to - at) * (high - low)
+            d, o, m = apart[:n].reshape(shape), over[:n].reshape(shape), missed[:n].reshape(shape)
+            m[:] = 0
+            for k in range(min(_DENSE, directions)):
+                np.subtract(codes_a[k, at:to, None], codes_b[k, low:high], out=d)
+                np.greater(d, 2 * _STEPS, out=o)
+                np.add(m, o.view(np.uint8), out=m)
+            near = np.flatnonzero(np.less_equal(missed[:n], miss_most, out=over[:n]))
+            for some in range(0, len(near), listed):
+                i, j = np.divmod(near[some : some + listed], high - low)
+                i, j = i + at, j + low
+                if same:
+                    i, j = i[i < j], j[i < j]
+                i, j = by_a[i], by_b[j]
+                hits = (np.abs(a[i] - b[j]) <= width).sum(axis=1)
+                i, j = i[hits >= count], j[hits >= count]
+                close = np.einsum("ij,ij->i", left[i], right[j]) >= cosine
+                i, j = i[close], j[close]
+                if len(i):
+                    yield (np.minimum(i, j), np.maximum(i, j)) if same else (i, j)
 
 
 class _Forest:
@@ -113,8 +150,9 @@ class _Forest:
 
     def join(self, i: np.ndarray, j: np.ndarray) -> None:
         roots = self.roots()
-        pairs = np.unique(np.stack([roots[i], roots[j]], axis=1), axis=0)
-        for x, y in pairs[pairs[:, 0] != pairs[:, 1]].tolist():
+        i, j = roots[i], roots[j]
+        pairs = np.unique(np.stack([i[i != j], j[i != j]], axis=1), axis=0)
+        for x, y in pairs.tolist():
             while self.parent[x] != x:
                 x = self.parent[x]
             while self.parent[y] != y:
@@ -129,76 +167,109 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & ~bad & some, F.lit(False))
 
 
-def _strips(nodes: DataFrame, size: int, rows: int, seed: int, width: float):
-    """Cuts along the first direction into strips of about ``rows`` vectors, and the last
-    strip that a window from each strip reaches."""
+def _units(vectors: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
+    """The unit vectors of an Arrow column of lists of ``size`` numbers."""
+    unit, at = np.empty((len(vectors), size)), 0
+    for chunk in vectors.chunks if isinstance(vectors, pa.ChunkedArray) else [vectors]:
+        if len(chunk):
+            flat = chunk.flatten().cast(pa.float64(), safe=False)
+            unit[at : at + len(chunk)] = _unit(flat.to_numpy(zero_copy_only=False).reshape(-1, size))
+            at += len(chunk)
+    return unit
+
+
+def strip_size(n: int, size: int) -> int:
+    """Rows of a strip of ``n`` vectors with ``size`` components."""
+    return max(STRIP_ROWS, min(n // _STRIPS, STRIP_BYTES // (8 * size)))
+
+
+def _strips(nodes: DataFrame, size: int, rows: int | None, seed: int) -> np.ndarray:
+    """Cuts along the first direction into strips of about ``rows`` vectors: strip s holds
+    cuts[s - 1] <= x <= cuts[s]."""
     axis = _directions(DIRECTIONS, size, seed)[0]
 
-    def project(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            unit = _unit(np.stack(f["vector"].to_numpy()).astype(np.float64))
-            yield pd.DataFrame({"x": unit @ axis})
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in batches:
+            if f.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(_units(f.column("vector"), size) @ axis)], ["x"])
 
-    values = nodes.mapInPandas(project, "x double")
+    values = nodes.select("vector").mapInArrow(tidy(project), "x double")
     n = nodes.count()
-    strips = -(-n // rows)
+    strips = -(-n // (rows or strip_size(n, size)))
     steps = [i / strips for i in range(1, strips)]
-    cuts = np.array([])
-    if steps:
-        cuts = np.unique(values.agg(F.percentile_approx("x", steps, max(10_000, 10 * strips))).first()[0])
-    # Strip s holds cuts[s - 1] <= x < cuts[s].
-    last = np.searchsorted(cuts, np.append(cuts, np.inf) + width, "right")
-    return cuts, last
+    if not steps:
+        return np.array([])
+    return np.array(values.agg(F.percentile_approx("x", steps, max(10_000, 10 * strips))).first()[0])
+
+
+def _strip_of(x: np.ndarray, node: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """The strip of each vector; those right on a cut, or on several equal ones, are dealt
+    by number to the strips around it."""
+    low, high = np.searchsorted(cuts, x, "left"), np.searchsorted(cuts, x, "right")
+    return low + node % (high - low + 1)
+
+
+def _copies(
+    nodes: pa.RecordBatch, x: np.ndarray, cuts: np.ndarray, width: float, rows: int
+) -> Iterator[pa.RecordBatch]:
+    """A copy of each vector for every pair of strips ``a <= b`` in which its window meets
+    others, in batches of at most ``rows``."""
+    strip = _strip_of(x, nodes.column("node").to_numpy(), cuts)
+    wide = _wide(width)
+    first, last = np.searchsorted(cuts, x - wide, "left"), np.searchsorted(cuts, x + wide, "right")
+    ends = np.cumsum(last - first + 1)
+    for at in range(0, int(ends[-1]) if len(ends) else 0, rows):
+        number = np.arange(at, min(at + rows, ends[-1]))
+        row = np.searchsorted(ends, number, "right")
+        s, other = strip[row], last[row] - (ends[row] - 1 - number)
+        given = nodes.take(pa.array(row))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.minimum(s, other)), pa.array(np.maximum(s, other)), pa.array(s <= other),
+             *(given.column(c) for c in ("node", "weight", "vector"))],
+            ["a", "b", "left", "node", "weight", "vector"])
 
 
 def links(
     nodes: DataFrame, size: int, cosine: float = COSINE, directions: int = DIRECTIONS,
-    reach: float = REACH, recall: float = RECALL, strip_rows: int = STRIP_ROWS, seed: int = 23,
+    reach: float = REACH, recall: float = RECALL, strip_rows: int | None = None, seed: int = 23,
 ) -> DataFrame:
     """``node, n_links, other``: per task, the links found for a vector (weighted by how
     often the partner occurs) and one vector of its group there. ``nodes`` has ``node,
     weight, vector`` with distinct vectors of one length."""
     width, count = half_width(cosine, reach), calibrated_count(directions, reach, recall)
-    cuts, last = _strips(nodes, size, strip_rows, seed, width)
+    cuts = _strips(nodes, size, strip_rows, seed)
     axis = _directions(directions, size, seed)[0]
-    first = np.searchsorted(last, np.arange(len(last)))  # strips whose window reaches this one
-
-    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            unit = _unit(np.stack(f["vector"].to_numpy()).astype(np.float64))
-            strip = np.searchsorted(cuts, unit @ axis, "right")
-            ahead, behind = last[strip] - strip + 1, strip - first[strip]
-            n = ahead + behind
-            rows = np.repeat(np.arange(len(f)), n)
-            k = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
-            s = strip[rows]
-            left = k < ahead[rows]
-            yield pd.DataFrame({
-                "a": np.where(left, s, first[s] + k - ahead[rows]), "b": np.where(left, s + k, s),
-                "left": left, "node": f["node"].to_numpy()[rows],
-                "weight": f["weight"].to_numpy()[rows], "vector": f["vector"].to_numpy()[rows]})
-
-    def meet(f: pd.DataFrame) -> pd.DataFrame:
-        same = f["a"].iloc[0] == f["b"].iloc[0]
-        unit = _unit(np.stack(f["vector"].to_numpy()).astype(np.float64))
+    sent = max(1, BATCH_BYTES // (8 * size + 40))  # rows of a batch
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in batches:
+            yield from _copies(f, _units(f.column("vector"), size) @ axis, cuts, width, sent)
+
+    def meet(f: pa.Table) -> pa.Table:
+        same = f["a"][0].as_py() == f["b"][0].as_py()
+        unit = _units(f["vector"], size)
         node, weight = f["node"].to_numpy(), f["weight"].to_numpy()
-        is_left = f["left"].to_numpy(bool)
+        is_left = f["left"].to_numpy()
         l, r = np.flatnonzero(is_left), np.flatnonzero(is_left if same else ~is_left)
-        n_links, forest = np.zeros(len(f), np.int64), _Forest(len(f))
+        n_links, forest = np.zeros(len(node), np.int64), _Forest(len(node))
         if len(l) and len(r):
-            for i, j in linked_pairs(unit[l], unit[r], same, cosine, width, count, seed, directions):
+            left = unit[l]
+            right = left if same else unit[r]
+            del unit
+            for i, j in linked_pairs(left, right, same, cosine, width, count, seed, directions):
                 i, j = l[i], r[j]
                 np.add.at(n_links, i, weight[j])
                 np.add.at(n_links, j, weight[i])
                 forest.join(i, j)
         hit = np.flatnonzero(n_links)
-        return pd.DataFrame({"node": node[hit], "n_links": n_links[hit],
-                             "other": node[forest.roots()[hit]]})
+        give_back()
+        return pa.table({"node": node[hit], "n_links": n_links[hit],
+                         "other": node[forest.roots()[hit]]})
 
     vector = nodes.schema["vector"].dataType.simpleString()
-    dealt = nodes.mapInPandas(
-        deal, f"a long, b long, left boolean, node long, weight long, vector {vector}")
-    return dealt.groupBy("a", "b").applyInPandas(meet, "node long, n_links long, other long")
+    dealt = nodes.mapInArrow(
+        tidy(deal), f"a long, b long, left boolean, node long, weight long, vector {vector}")
+    return dealt.groupBy("a", "b").applyInArrow(meet, "node long, n_links long, other long")
 
 
 def near_duplicates(
@@ -215,6 +286,7 @@ def near_duplicates(
     often as it occurs. Rows with a null id take part; with no id in reach their component
     is null and they are kept.
     """
+    bounded_batches(vectors.sparkSession)
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("vector"))
     good, bad = rows.where(usable(F.col("vector"))), rows.where(~usable(F.col("vector")))
     # Stored with their number, so that it is the same wherever it is used.
