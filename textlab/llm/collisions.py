@@ -245,27 +245,29 @@ def links(
         for f in batches:
             yield from _copies(f, _units(f.column("vector"), size) @ axis, cuts, width, sent)
 
-    def meet(f: pa.Table) -> pa.Table:
+    def met(f: pa.Table) -> pa.Table:
         same = f["a"][0].as_py() == f["b"][0].as_py()
-        unit = _units(f["vector"], size)
         node, weight = f["node"].to_numpy(), f["weight"].to_numpy()
         is_left = f["left"].to_numpy()
         l, r = np.flatnonzero(is_left), np.flatnonzero(is_left if same else ~is_left)
         n_links, forest = np.zeros(len(node), np.int64), _Forest(len(node))
         if len(l) and len(r):
-            left = unit[l]
-            right = left if same else unit[r]
-            del unit
+            left = _units(f["vector"].filter(f["left"]), size)
+            right = left if same else _units(f["vector"].filter(pa.array(~is_left)), size)
             for i, j in linked_pairs(left, right, same, cosine, width, count, seed, directions):
                 i, j = l[i], r[j]
                 np.add.at(n_links, i, weight[j])
                 np.add.at(n_links, j, weight[i])
                 forest.join(i, j)
         hit = np.flatnonzero(n_links)
-        give_back()
         return pa.table({"node": node[hit], "n_links": n_links[hit],
                          "other": node[forest.roots()[hit]]})
 
+    def meet(f: pa.Table) -> pa.Table:
+        found = met(f)
+        give_back()
+        return found
+
     vector = nodes.schema["vector"].dataType.simpleString()
     dealt = nodes.mapInArrow(
         tidy(deal), f"a long, b long, left boolean, node long, weight long, vector {vector}")
